@@ -14,7 +14,7 @@ from musterbook.operators import counts, days, fill, filters, joins, lookups, re
 from musterbook.plans import calendar, summary
 from musterbook.session import shared_folder
 from musterbook.sources import store
-from musterbook.sources.derived import derived_tables
+from musterbook.sources.derived import DerivedTables
 
 MONTH = dt.date(2024, 1, 1)
 NEXT = next_month(MONTH)
@@ -29,7 +29,7 @@ QUERIES: dict[str, Query] = {}
 
 def on_tables(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Register a query over the derived attendance tables under the function's name."""
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(derived_tables(spark, sf_dir))
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(DerivedTables(spark, sf_dir))
     return build
 
 

@@ -38,11 +38,6 @@ def epi_week(date: Column) -> Column:
     return (F.floor((F.dayofyear(wednesday) - 1) / 7) + 1).cast("int")
 
 
-def week_start(date: Column) -> Column:
-    """The Sunday on or before a date."""
-    return F.date_sub(date, F.dayofweek(date) - 1)
-
-
 def calendar_parts(date: Column) -> list[Column]:
     return [
         F.dayofweek(date).alias("wday"),

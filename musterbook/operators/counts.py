@@ -7,11 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterbook.functions.clock import epi_week, week_start
+from musterbook.functions.clock import epi_week
 from musterbook.functions.status import designation_rank, position
 from musterbook.functions.text import emp_id_pad, leave_type_label
-from musterbook.model import CODES, LEAVE_LABELS, MASTER_COLUMNS
-from musterbook.operators.days import month_frame_join
+from musterbook.model import CODES, LEAVE_LABELS, MASTER_COLUMNS, month_start, next_month
 
 GRID_FIELDS = ["attendance", "day", "time", "in_time", "out_time", "in_location", "out_location"]
 
@@ -105,25 +104,34 @@ def leave_tally(leave: DataFrame, emp_id: str | None = None) -> DataFrame:
 def calendar_grid(calendar: DataFrame, month: dt.date | str) -> DataFrame:
     """One row per employee and week, seven values for each weekday (Sunday = 1).
 
-    Grouped by the week's Sunday, so the days of late December stay last whatever
-    their week number. The frame left the days partitioned by employee, which the
-    weekly grouping reuses.
+    An employee's month becomes one map from date to day, read once per cell, so days
+    that are not in the calendar still have their place. Weeks are told apart by
+    their Sunday: the last days of December stay last whatever their week number.
     """
-    shown = [f for f in GRID_FIELDS if f != "day"]
-    framed = month_frame_join(calendar.select("emp_id", "date", *shown), month)
-    days = framed.select(
-        "*",
-        F.day("date").alias("day"),
-        F.dayofweek("date").alias("wday"),
-        week_start(F.col("date")).alias("week_start"),
+    first, last = month_start(month), next_month(month) - dt.timedelta(days=1)
+    sunday = first - dt.timedelta(days=first.isoweekday() % 7)
+    sundays = [F.lit(sunday + dt.timedelta(days=n)) for n in range(0, (last - sunday).days + 1, 7)]
+    shown = F.struct(*[f for f in GRID_FIELDS if f != "day"])
+    months = calendar.groupBy("emp_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("date", shown))).alias("days")
     )
-    cell = F.struct(*GRID_FIELDS)
-    weeks = days.groupBy("emp_id", "week_start").agg(
-        F.map_from_entries(F.collect_list(F.struct("wday", cell))).alias("cells"),
-        F.min("date").alias("first_day"),
+    weeks = months.select("emp_id", "days", F.explode(F.array(*sundays)).alias("week_start"))
+    dates = {k: F.date_add("week_start", k - 1) for k in range(1, 8)}
+    cells = weeks.select(
+        "emp_id",
+        "week_start",
+        epi_week(F.greatest("week_start", F.lit(first))).alias("week"),
+        *[F.try_element_at("days", date).alias(f"cell_{k}") for k, date in dates.items()],
     )
-    cells = [
-        F.col("cells")[k][field].alias(f"{field}_{k}") for field in GRID_FIELDS for k in range(1, 8)
-    ]
-    return weeks.select("emp_id", "week_start", epi_week(F.col("first_day")).alias("week"), *cells)
 
+    def value(field: str, k: int):
+        if field == "day":
+            return F.when(dates[k].between(F.lit(first), F.lit(last)), F.day(dates[k]))
+        return F.col(f"cell_{k}")[field]
+
+    return cells.select(
+        "emp_id",
+        "week_start",
+        "week",
+        *[value(field, k).alias(f"{field}_{k}") for field in GRID_FIELDS for k in dates],
+    )

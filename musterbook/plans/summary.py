@@ -12,7 +12,6 @@ the counts are ``bit_count``; no day is ever exploded.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,139 +35,116 @@ from musterbook.operators.days import (
     employee_days,
     late_override,
     summary_day_rows,
-    window_bounds,
 )
 from musterbook.operators.filters import date_filter, division_cat_filter, month_filter
 from musterbook.operators.joins import restrict_to
 from musterbook.operators.records import unified_records
 
 COUNT_COLUMNS = [*CODES, "other", "present_days", "total_days"]
-SUNDAYS_FROM_1 = 0b10000001000000100000010000001  # days 1, 8, 15, 22, 29
+SET_COLUMNS = [*[f"leave_{c}" for c in [*CODES, "other"]], "punched", "punctual", "late"]
+EVERY_SEVENTH_DAY = sum(1 << day for day in range(0, 31, 7))
 
 
-def day_bit(date: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.day(date) - 1)
-
-
-def any_of(sets: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), sets)
-
-
-def without(days: Column, taken: Column) -> Column:
-    return days.bitwiseAND(F.bitwise_not(taken))
-
-
-def month_of(date: str) -> Column:
-    return F.trunc(date, "MM").alias("month")
+def day_bit(date: str) -> str:
+    return f"shiftleft(1L, day({date}) - 1)"
 
 
 def day_sets(leave: DataFrame, attend: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """Per employee and month: the days of each leave code, of punches, of punctual and
     of late entries, and the last date with a record."""
+    unlisted = len(CODES) + 1
     leaves = leave.select(
         "emp_id",
         "date",
-        F.coalesce(position(F.col("leave_type"), CODES), F.lit(len(CODES) + 1)).alias("kind"),
-        F.lit(None).cast("boolean").alias("late"),
+        F.coalesce(position(F.col("leave_type"), CODES), F.lit(unlisted)).alias("kind"),
+        F.lit(None).cast("boolean").alias("is_late"),
     )
     punches = attend.select(
         "emp_id",
         F.col("log_date").alias("date"),
         F.lit(0).alias("kind"),
-        is_late(punch_parse(F.col("in_time")), F.col("log_date"), cutoffs).alias("late"),
+        is_late(punch_parse(F.col("in_time")), F.col("log_date"), cutoffs).alias("is_late"),
     )
-
-    def days_where(condition: Column, name: str) -> Column:
-        return F.coalesce(F.bit_or(F.when(condition, day_bit(F.col("date")))), F.lit(0)).alias(name)
-
-    kind, late = F.col("kind"), F.col("late")
-    listed = [days_where(kind == i, f"leave_{c}") for i, c in enumerate([*CODES, "other"], start=1)]
+    conditions = [f"kind = {i}" for i in range(1, unlisted + 1)] + ["kind = 0", "NOT is_late", "is_late"]
+    sets = [
+        F.expr(f"coalesce(bit_or(CASE WHEN {condition} THEN {day_bit('date')} END), 0L) AS {name}")
+        for name, condition in zip(SET_COLUMNS, conditions, strict=True)
+    ]
     return (
         leaves.unionByName(punches)
-        .groupBy("emp_id", month_of("date"))
-        .agg(
-            *listed,
-            days_where(kind == 0, "punched"),
-            days_where(~late, "punctual"),
-            days_where(late, "late"),
-            F.max("date").alias("last_record"),
-        )
+        .groupBy("emp_id", F.trunc("date", "MM").alias("month"))
+        .agg(*sets, F.max("date").alias("last_record"))
     )
 
 
 def holiday_sets(holidays: DataFrame) -> DataFrame:
     """Listed holidays per month as a day set; one row per calendar month, so broadcast."""
-    return F.broadcast(
-        holidays.groupBy(month_of("hol_date")).agg(F.bit_or(day_bit(F.col("hol_date"))).alias("listed"))
-    )
+    listed = F.expr(f"bit_or({day_bit('hol_date')}) AS listed")
+    return F.broadcast(holidays.groupBy(F.trunc("hol_date", "MM").alias("month")).agg(listed))
 
 
-def _nth_day_range(first: Column, last: Column) -> Column:
-    """Day set of the dates ``first`` to ``last`` of one month; 0 if reversed or NULL."""
-    below = day_bit(first) - 1
-    upto = day_bit(last) * 2 - 1
-    return F.coalesce(F.when(first <= last, without(upto, below)), F.lit(0))
+def first_named(leave_first: bool) -> list[str]:
+    """Days each code names: of a day's records the first counts, leave codes in list
+    order, with the punches before or after them."""
+    taken = "0L" if leave_first else "punched"
+    named = {}
+    for code in [*CODES, "other"]:
+        named[code] = f"leave_{code} & ~({taken})"
+        taken = f"{taken} | leave_{code}"
+    named["P"] += f" | punched & ~({taken})" if leave_first else " | punched"
+    return [f"{days} AS is_{code}" for code, days in named.items()]
 
 
 def count_codes(
     months: DataFrame, holidays: DataFrame, as_of: dt.date, leave_first: bool
 ) -> DataFrame:
-    """Turn day sets joined to the master into one count per code."""
-    codes = [*CODES, "other"]
-    zero = F.lit(0).cast("bigint")
-    raw = {c: F.coalesce(F.col(f"leave_{c}"), zero) for c in codes}
-    punched = F.coalesce("punched", zero)
-
-    # The first record names the day: leave codes in list order, punches before or after.
-    taken = zero if leave_first else punched
-    named: dict[str, Column] = {}
-    for code in codes:
-        named[code] = without(raw[code], taken)
-        taken = taken.bitwiseOR(raw[code])
-    named["P"] = named["P"].bitwiseOR(without(punched, taken) if leave_first else punched)
-
-    day_one = F.lit(1).cast("bigint")
-    last_record = F.coalesce("last_record", "month")
-    first, last = window_bounds(F.col("month"), window_end_of(F.col("month"), as_of), last_record)
-    first_sunday = F.pmod(8 - F.dayofweek("month"), F.lit(7))
-    sets = months.join(holiday_sets(holidays), "month", "left").select(
-        "*",
-        _nth_day_range(first, last).alias("window"),
-        any_of([punched, *raw.values()]).alias("recorded"),
-        F.call_function("shiftleft", F.lit(SUNDAYS_FROM_1).cast("bigint"), first_sunday).alias("sundays"),
-        F.coalesce(without(F.col("late"), F.col("punctual")), zero).alias("late_days"),
-        *[named[c].alias(f"is_{c}") for c in codes],
-    )
-    recorded = F.col("recorded")
-    placeholder = F.when(recorded == 0, day_one).otherwise(zero)
-    marked = F.col("sundays").bitwiseOR(
-        F.col("window").bitwiseAND(F.coalesce("listed", zero))
+    """Turn day sets joined to the master into one count per code.
+
+    Records outside the window count too; the window only adds days without one. An
+    employee without any record has a placeholder on the first of the month.
+    """
+    yesterday = as_of - dt.timedelta(days=1)
+    bounded = (
+        months.na.fill(0, SET_COLUMNS)
+        .join(holiday_sets(holidays), "month", "left")
+        .selectExpr(
+            "*",
+            "greatest(creation_date, month) AS min_date",
+            f"CASE WHEN active_status = '{ACTIVE}' THEN least(last_day(month), DATE '{yesterday}') "
+            "ELSE coalesce(last_record, month) END AS max_date",
+            " | ".join(SET_COLUMNS[:-2]) + " AS recorded",
+        )
     )
-    sets = sets.withColumn("days", any_of([recorded, F.col("window"), placeholder])).withColumn(
-        "off", without(marked.bitwiseAND(F.col("days")), F.col("is_EL"))
+    sets = bounded.selectExpr(
+        "*",
+        *first_named(leave_first),
+        "late & ~punctual AS late_days",
+        f"CASE WHEN min_date <= max_date THEN (shiftleft(1L, day(max_date)) - 1) & ~({day_bit('min_date')} - 1) "
+        "ELSE 0L END AS window",
+        f"shiftleft({EVERY_SEVENTH_DAY}L, pmod(8 - dayofweek(month), 7)) AS sundays",
     )
-
-    def working(code: str) -> Column:
-        return without(F.col(f"is_{code}"), F.col("off"))
-
-    late_days = F.col("late_days")
-    final = {c: working(c) for c in codes}
-    final["EL"] = F.col("is_EL")
-    final["H"] = F.col("off").bitwiseOR(F.col("is_H"))
-    final["A"] = working("A").bitwiseOR(without(F.col("days"), recorded.bitwiseOR(F.col("off"))))
-    final["Late"] = working("Late").bitwiseOR(working("P").bitwiseAND(late_days))
-    final["P"] = without(working("P"), late_days)
-    counts = {c: F.bit_count(days).cast("bigint") for c, days in final.items()}
-    total = F.bit_count("days").cast("bigint")
-    return sets.select(
+    marked = sets.selectExpr(
+        "*",
+        "recorded | window | CASE WHEN recorded = 0 THEN 1L ELSE 0L END AS days",
+        "(sundays | window & coalesce(listed, 0L)) & ~is_EL AS marked",
+    ).selectExpr("*", "marked & days AS off")
+    final = {code: f"is_{code} & ~off" for code in [*CODES, "other"]}
+    final |= {
+        "P": "is_P & ~off & ~late_days",
+        "Late": "(is_Late | is_P & late_days) & ~off",
+        "A": "(is_A | days & ~recorded) & ~off",
+        "H": "is_H | off",
+        "EL": "is_EL",
+    }
+    counted = marked.selectExpr(
         "month",
         "emp_id",
         *MASTER_COLUMNS,
         "cat",
-        *[counts[c].alias(c) for c in codes],
-        (total - counts["A"]).alias("present_days"),
-        total.alias("total_days"),
+        *[f"CAST(bit_count({days}) AS BIGINT) AS {code}" for code, days in final.items()],
+        "CAST(bit_count(days) AS BIGINT) AS total_days",
     )
+    return counted.withColumn("present_days", F.col("total_days") - F.col("A"))
 
 
 def _summary(

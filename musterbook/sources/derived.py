@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache, cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterbook.model import NO_EXIT_TEXT, Tables
+from musterbook.model import NO_EXIT_TEXT
 
 # Fixed rules of the derivation, by remainder.
 DESIGNATION_OF = [
@@ -105,12 +107,24 @@ def holiday_table(events: DataFrame, orders: DataFrame) -> DataFrame:
     return marked.union(orders.filter(christmas).select(order_day.alias("hol_date")))
 
 
-def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    events, orders = read("events"), read("orders")
-    return Tables(
-        emp=emp_table(read("customer"), read("nation")),
-        attend=attend_table(events),
-        leave=leave_table(events, orders),
-        holidays=holiday_table(events, orders),
-    )
+class DerivedTables:
+    """The four tables over a folder of test tables, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+    @cached_property
+    def emp(self) -> DataFrame:
+        return emp_table(self._read("customer"), self._read("nation"))
+
+    @cached_property
+    def attend(self) -> DataFrame:
+        return attend_table(self._read("events"))
+
+    @cached_property
+    def leave(self) -> DataFrame:
+        return leave_table(self._read("events"), self._read("orders"))
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        return holiday_table(self._read("events"), self._read("orders"))
