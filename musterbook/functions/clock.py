@@ -12,10 +12,12 @@ def punch_parse(text: Column) -> Column:
     """Leading ``yyyy-MM-dd HH:mm:ss`` of a punch text as TIMESTAMP_NTZ.
 
     Anything after the first 19 characters is ignored, so a flattened list gives
-    its first punch. The no-exit marker and other unreadable texts give NULL.
+    its first punch. The no-exit marker and other unreadable texts give NULL. The
+    cast alone would also read shorter forms, so two separators are looked at
+    first; that and the cast cost a fraction of a pattern or a format.
     """
-    head = F.substring(text, 1, 19)
-    return F.when(head.like("____-__-__ __:__:__"), head.try_cast("timestamp_ntz"))
+    shaped = (F.substring(text, 11, 1) == " ") & (F.substring(text, 17, 1) == ":")
+    return F.when(shaped, F.substring(text, 1, 19).try_cast("timestamp_ntz"))
 
 
 def at_clock(date: Column, clock: str) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from musterbook.functions.clock import punch_parse
 from musterbook.functions.status import code_order
-from musterbook.functions.text import flatten_comma
 from musterbook.model import PUNCH_COLUMNS, month_start
 from musterbook.operators.joins import employees_without_records
 
 # Precedence of a record within its employee-day; the lowest one names the day.
 FIRST, SECOND, PLACEHOLDER = 0, 1, 2
+# Stands for NULL in sort keys; it sorts behind every text.
+NULL_TEXT = chr(0x10FFFF)
 
 
 def unified_records(leave: DataFrame, attend: DataFrame, leave_first: bool = True) -> DataFrame:
@@ -67,13 +68,13 @@ def first_record_of_day(records: DataFrame) -> DataFrame:
 def punch_order() -> list[Column]:
     """Order of punches within a day: by readable entry time, then by the raw texts.
 
-    It is total over the listed columns, NULL last throughout.
+    It is total over the listed columns; NULL comes last, as a text no value can have.
     """
-    last_text, last_time = F.lit(chr(0x10FFFF)), F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+    last_time = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
     raw = ["in_time", "in_device_id", "out_time", "out_device_id", "in_location", "out_location"]
     return [
-        F.coalesce(punch_parse(F.col("in_time")), last_time).alias("o_ts"),
-        *[F.coalesce(F.col(c), last_text).alias(f"o_{c}") for c in raw],
+        F.coalesce(punch_parse(F.col("in_time")), last_time).alias("in_ts"),
+        *[F.coalesce(F.col(c), F.lit(NULL_TEXT)).alias(c) for c in raw],
     ]
 
 
@@ -87,32 +88,26 @@ def day_collapse(records: DataFrame, distinct: bool = False) -> DataFrame:
     ``distinct`` drops repetitions, and places take no part in what is equal.
     """
     columns = [c for c in PUNCH_COLUMNS if not (distinct and c.endswith("location"))]
-    punches = records.select("emp_id", "date", "precedence", "attendance", *columns)
+    rows = records.select("emp_id", "date", "precedence", "attendance", *columns)
     if distinct:
-        folded = punches.distinct().select(
-            "*",
-            F.lit(1).alias("copies"),
-            F.lit(None).cast("string").alias("in_location"),
-            F.lit(None).cast("string").alias("out_location"),
-        )
+        place = F.lit(None).cast("string")
+        added = {"copies": F.lit(1), "in_location": place, "out_location": place}
+        folded = rows.distinct().withColumns(added)
     else:
-        copies = F.count(F.lit(1)).cast("int").alias("copies")
-        folded = punches.groupBy(*punches.columns).agg(copies)
+        folded = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    punch = F.when(F.coalesce(*PUNCH_COLUMNS).isNotNull(), F.struct(*punch_order(), "copies"))
     days = folded.groupBy("emp_id", "date").agg(
-        first_code().alias("attendance"),
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.coalesce(*PUNCH_COLUMNS).isNotNull(),
-                    F.struct(*punch_order(), *PUNCH_COLUMNS, "copies"),
-                )
-            )
-        ).alias("punches"),
+        first_code().alias("attendance"), F.array_sort(F.collect_list(punch)).alias("punches")
     )
 
     def listed(column: str) -> Column:
-        repeated = F.transform("punches", lambda p: F.array_repeat(p[column], p["copies"]))
-        return flatten_comma(F.flatten(repeated)).alias(column)
+        """The values in order, each with a leading separator and as often as it occurs."""
+
+        def texts(p: Column) -> Column:
+            return F.repeat(F.concat(F.lit(", "), F.nullif(p[column], F.lit(NULL_TEXT))), p["copies"])
+
+        joined = F.array_join(F.transform("punches", texts), "")
+        return F.substr(joined, F.lit(3)).alias(column)
 
     shown = ["in_time", "out_time"] if distinct else ["in_time", "out_time", "in_location", "out_location"]
     return days.select("emp_id", "date", "attendance", *map(listed, shown))

@@ -1,12 +1,12 @@
 """Monthly summary: code counts per employee, for one month or all of them.
 
 A month has at most 31 days, so "the days on which ..." fits into one BIGINT.
-Leave rows and punches are reduced, in a single grouping by employee and month,
-to such day sets with ``bit_or``: fixed-width buffers, hash aggregation inside
-code generation, combined on the map side before the only exchange of the facts.
-A hot employee or employee-day therefore arrives as one short row per task. The
-window, Sundays, holidays and precedence are set operations on those numbers and
-the counts are ``bit_count``; no day is ever exploded.
+Grouping leave rows and punches by employee and month reduces them to such day
+sets with ``bit_or``: fixed-width buffers, hash aggregation inside code
+generation, combined on the map side before the only exchange of the facts. A hot
+employee or employee-day therefore arrives as one short row per task. The window,
+Sundays, holidays and precedence are set operations on those numbers and the
+counts are ``bit_count``; no day is ever exploded.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ from musterbook.operators.joins import restrict_to
 from musterbook.operators.records import unified_records
 
 COUNT_COLUMNS = [*CODES, "other", "present_days", "total_days"]
-SET_COLUMNS = [*[f"leave_{c}" for c in [*CODES, "other"]], "punched", "punctual", "late"]
+LEAVE_SETS = [f"leave_{c}" for c in [*CODES, "other"]]
+SET_COLUMNS = [*LEAVE_SETS, "punched", "punctual", "late"]
 EVERY_SEVENTH_DAY = sum(1 << day for day in range(0, 31, 7))
 
 
@@ -49,32 +50,43 @@ def day_bit(date: str) -> str:
     return f"shiftleft(1L, day({date}) - 1)"
 
 
-def day_sets(leave: DataFrame, attend: DataFrame, cutoffs: Cutoffs) -> DataFrame:
-    """Per employee and month: the days of each leave code, of punches, of punctual and
-    of late entries, and the last date with a record."""
-    unlisted = len(CODES) + 1
-    leaves = leave.select(
-        "emp_id",
-        "date",
-        F.coalesce(position(F.col("leave_type"), CODES), F.lit(unlisted)).alias("kind"),
-        F.lit(None).cast("boolean").alias("is_late"),
-    )
-    punches = attend.select(
+def days_where(condition: str, name: str) -> Column:
+    return F.expr(f"bit_or(CASE WHEN {condition} THEN {day_bit('date')} END) AS {name}")
+
+
+def by_employee_month(rows: DataFrame, sets: list[Column]) -> DataFrame:
+    month = F.trunc("date", "MM").alias("month")
+    return rows.groupBy("emp_id", month).agg(*sets, F.max("date").alias("last_record"))
+
+
+def punch_sets(attend: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """Per employee and month: the days with punches, with punctual and with late entries."""
+    rows = attend.select(
         "emp_id",
         F.col("log_date").alias("date"),
-        F.lit(0).alias("kind"),
         is_late(punch_parse(F.col("in_time")), F.col("log_date"), cutoffs).alias("is_late"),
     )
-    conditions = [f"kind = {i}" for i in range(1, unlisted + 1)] + ["kind = 0", "NOT is_late", "is_late"]
-    sets = [
-        F.expr(f"coalesce(bit_or(CASE WHEN {condition} THEN {day_bit('date')} END), 0L) AS {name}")
-        for name, condition in zip(SET_COLUMNS, conditions, strict=True)
-    ]
-    return (
-        leaves.unionByName(punches)
-        .groupBy("emp_id", F.trunc("date", "MM").alias("month"))
-        .agg(*sets, F.max("date").alias("last_record"))
-    )
+    sets = {"punched": "TRUE", "punctual": "NOT is_late", "late": "is_late"}
+    return by_employee_month(rows, [days_where(condition, name) for name, condition in sets.items()])
+
+
+def leave_sets(leave: DataFrame) -> DataFrame:
+    """Per employee and month: the days of each leave code."""
+    kind = F.coalesce(position(F.col("leave_type"), CODES), F.lit(len(LEAVE_SETS))).alias("kind")
+    rows = leave.select("emp_id", "date", kind)
+    sets = [days_where(f"kind = {i}", name) for i, name in enumerate(LEAVE_SETS, start=1)]
+    return by_employee_month(rows, sets)
+
+
+def day_sets(leave: DataFrame, attend: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """Both kinds of sets in one row per employee and month, with the last recorded date.
+
+    Leave and punches are reduced apart, each in one pass from scan to partial
+    aggregate; what meets here is one row per employee, month and kind.
+    """
+    both = punch_sets(attend, cutoffs).unionByName(leave_sets(leave), allowMissingColumns=True)
+    merged = [F.bit_or(name).alias(name) for name in SET_COLUMNS]
+    return both.groupBy("emp_id", "month").agg(*merged, F.max("last_record").alias("last_record"))
 
 
 def holiday_sets(holidays: DataFrame) -> DataFrame:
@@ -158,7 +170,9 @@ def _summary(
     placeholders: str | None,
     cutoffs: Cutoffs,
 ) -> DataFrame:
-    sets = day_sets(restrict_to(leave, chosen), restrict_to(attend, chosen), cutoffs)
+    if chosen is not tables.emp:
+        leave, attend = restrict_to(leave, chosen), restrict_to(attend, chosen)
+    sets = day_sets(leave, attend, cutoffs)
     master = chosen.select("emp_id", *MASTER_COLUMNS, "cat", "creation_date", "active_status")
     if placeholders:
         master = master.select("*", F.explode(months).alias("month"))
@@ -255,11 +269,11 @@ def summary_days(
     if placeholders == "default":
         placeholders = default_placeholders(division)
     chosen = division_cat_filter(tables.emp, division, cat)
-    records = unified_records(
-        restrict_to(month_filter(tables.leave, "date", month), chosen),
-        restrict_to(month_filter(tables.attend, "log_date", month), chosen),
-        leave_first,
-    )
+    leave = month_filter(tables.leave, "date", month)
+    attend = month_filter(tables.attend, "log_date", month)
+    if chosen is not tables.emp:
+        leave, attend = restrict_to(leave, chosen), restrict_to(attend, chosen)
+    records = unified_records(leave, attend, leave_first)
     days = employee_days(summary_day_rows(records, cutoffs), chosen, month, as_of, placeholders)
     return late_override(day_attendance(days, tables.holidays)).select(
         "emp_id", *MASTER_COLUMNS, "date", "attendance"

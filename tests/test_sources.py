@@ -1,5 +1,8 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
+
+import pytest
 
 from conftest import day, person, punch
 from musterbook.model import EMP_SCHEMA
@@ -30,13 +33,13 @@ def test_json_fields(spark):
     assert [tuple(r) for r in rows] == [(1, 5, None), (2, None, "n"), (3, None, None), (4, None, None)]
 
 
-def test_shared_folder_follows_the_cluster(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "hdfs://name/shared/")
-        assert shared_folder(spark, "x").startswith("hdfs://name/shared/x-")
-        spark.conf.unset("spark.checkpoint.dir")
-        assert shared_folder(spark, "x") != shared_folder(spark, "x")
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_folder_follows_the_cluster():
+    def session(master, **settings):
+        context = SimpleNamespace(master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=context)
+
+    named = session("yarn", **{"spark.checkpoint.dir": "hdfs://name/shared/"})
+    assert shared_folder(named, "x").startswith("hdfs://name/shared/x-")
+    assert shared_folder(session("local[2]"), "x") != shared_folder(session("local[2]"), "x")
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"), "x")
