@@ -96,7 +96,12 @@ def employees_without_records(
 
 
 def broadcast_size_known(df: DataFrame) -> bool:
-    """Whether Catalyst's own estimate of a frame is within the broadcast threshold."""
+    """Whether Catalyst's own estimate of a frame is within the broadcast threshold.
+
+    Without access to the estimate (a remote session) the answer is no.
+    """
+    if not hasattr(df, "_jdf"):
+        return False
     threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) <= int(threshold)

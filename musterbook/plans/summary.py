@@ -159,6 +159,11 @@ def count_codes(
     return counted.withColumn("present_days", F.col("total_days") - F.col("A"))
 
 
+def selected(tables: Tables, chosen: DataFrame, fact: DataFrame) -> DataFrame:
+    """Facts ahead of their reduction; narrowed only where employees were chosen at all."""
+    return fact if chosen is tables.emp else restrict_to(fact, chosen)
+
+
 def _summary(
     tables: Tables,
     chosen: DataFrame,
@@ -170,9 +175,9 @@ def _summary(
     placeholders: str | None,
     cutoffs: Cutoffs,
 ) -> DataFrame:
-    if chosen is not tables.emp:
-        leave, attend = restrict_to(leave, chosen), restrict_to(attend, chosen)
-    sets = day_sets(leave, attend, cutoffs)
+    sets = day_sets(
+        selected(tables, chosen, leave), selected(tables, chosen, attend), cutoffs
+    )
     master = chosen.select("emp_id", *MASTER_COLUMNS, "cat", "creation_date", "active_status")
     if placeholders:
         master = master.select("*", F.explode(months).alias("month"))
@@ -269,10 +274,8 @@ def summary_days(
     if placeholders == "default":
         placeholders = default_placeholders(division)
     chosen = division_cat_filter(tables.emp, division, cat)
-    leave = month_filter(tables.leave, "date", month)
-    attend = month_filter(tables.attend, "log_date", month)
-    if chosen is not tables.emp:
-        leave, attend = restrict_to(leave, chosen), restrict_to(attend, chosen)
+    leave = selected(tables, chosen, month_filter(tables.leave, "date", month))
+    attend = selected(tables, chosen, month_filter(tables.attend, "log_date", month))
     records = unified_records(leave, attend, leave_first)
     days = employee_days(summary_day_rows(records, cutoffs), chosen, month, as_of, placeholders)
     return late_override(day_attendance(days, tables.holidays)).select(

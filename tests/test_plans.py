@@ -55,6 +55,17 @@ def test_summary_combines_hashed_before_its_exchange(stored):
     assert len(facts) <= 2
 
 
+def test_one_employee_is_a_pushed_filter(stored):
+    text = plan(employee_calendar(stored, JAN, CLOSED, "1"))
+    assert text.count("EqualTo(emp_id,1)") == 3
+
+
+def test_leave_and_punches_meet_without_another_exchange(stored):
+    text = plan(summary_all_months(stored, dt.date(2024, 4, 1)))
+    after_union = text[: text.index("Union")].splitlines()[-3:]
+    assert not any("Exchange" in line for line in after_union)
+
+
 def test_selection_reaches_the_facts_as_semi_join(stored):
     text = plan(monthly_summary(stored, JAN, CLOSED, "Surgery", "Faculty"))
     assert text.count("LeftSemi") == 2 and "BroadcastHashJoin" in text
