@@ -19,6 +19,8 @@ def local_session(cores: str = "8", app_name: str = "musterbook") -> SparkSessio
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Every column call would otherwise report its call site to the JVM.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Small inputs on one machine: keep all cores busy instead of one merged partition.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")

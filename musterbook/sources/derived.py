@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache, cached_property
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from musterbook.model import NO_EXIT_TEXT
 
@@ -107,11 +108,21 @@ def holiday_table(events: DataFrame, orders: DataFrame) -> DataFrame:
     return marked.union(orders.filter(christmas).select(order_day.alias("hol_date")))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class DerivedTables:
     """The four tables over a folder of test tables, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        self._spark, self._folder = spark, sf_dir
+
+    def _read(self, name: str) -> DataFrame:
+        """A test table; its schema is read off the files once per path."""
+        path = f"{self._folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def emp(self) -> DataFrame:
