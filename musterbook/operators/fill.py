@@ -4,7 +4,8 @@ A window over all rows of an employee would put a hot employee into one task.
 Instead each (employee, date) is first reduced to its known value; the window
 runs over those, at most one row per calendar day, and the result returns to the
 rows by an equi-join that adaptive execution can split. Rows of one date are
-peers: a value known on the date counts for all of them.
+peers: a value known on the date counts for all of them. Rows without an employee
+or a date have no place in the order and stay as they are.
 """
 
 from __future__ import annotations
@@ -25,14 +26,11 @@ def _fill(df: DataFrame, partition: str, order: str, cols: list[str], upwards: b
             return down
         return F.coalesce(down, F.first(column, ignorenulls=True).over(after))
 
-    carry = known.select(
-        F.col(partition).alias("_p"),
-        F.col(order).alias("_o"),
-        *[carried(c).alias(f"_{c}") for c in cols],
-    )
-    same = F.col(partition).eqNullSafe(F.col("_p")) & F.col(order).eqNullSafe(F.col("_o"))
+    carry = known.select(partition, order, *[carried(c).alias(f"_{c}") for c in cols])
     filled = {c: F.coalesce(c, f"_{c}") for c in cols}
-    return df.join(carry, same).select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
+    return df.join(carry, [partition, order], "left").select(
+        *[filled.get(c, F.col(c)).alias(c) for c in df.columns]
+    )
 
 
 def fill_down(df: DataFrame, partition: str, order: str, cols: list[str]) -> DataFrame:
