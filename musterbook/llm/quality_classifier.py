@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterbook.llm.common import id_remainder, pieces, text_buffer
 from musterbook.llm.ngram_jaccard import span_hashes
@@ -244,7 +245,7 @@ def predict(docs: DataFrame, fitted: tuple[Model | None, float], text: str = "te
                     [*own, "score", "predicted"],
                 )
 
-    return kept.mapInArrow(run, kept.schema.add("score", "double").add("predicted", "int"))
+    return kept.mapInArrow(run, T.StructType(list(kept.schema)).add("score", "double").add("predicted", "integer"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
