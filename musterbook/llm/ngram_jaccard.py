@@ -7,9 +7,10 @@ least document. Two classes of Jaccard similarity ``t`` share a shingle among th
 product; the order is "seldom first", so shingles of common passages come last. They are dealt
 into blocks of columns by hash.
 
-First pass: inside a block, the classes of a column are sorted by size and each is paired with
-the first one before it that the size bound admits: pairs grow with the entries, not with their
-square. Verified pairs form preliminary components. Second pass: the block product
+First pass: the least hashes of each class (a bottom-k sketch) are columns of a second, narrow
+matrix. Inside its blocks each class is paired with the least one of its column and size:
+pairs grow with the entries, not with their square. Pairs that share several columns are
+verified and form preliminary components, together with equal rows. Second pass: the block product
 of columns over classes of *different* components accumulates overlap counts per pair,
 and pairs that cannot reach the overlap their sizes demand are dropped before verification.
 Every pair over the threshold shares a prefix column, so it is verified or already
@@ -31,12 +32,20 @@ from musterbook.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-COMMON = 1 << 17
+COMMON = 1 << 20
+# Entries of a stretch of text in which common shingles are counted.
+STRETCH = 1 << 22
 LAST = 2**63 - 1
 HASH_BITS = 52
+# Columns of a class in the first pass, and how many a pair must share there (each grid of sizes counts).
+SKETCH = 16
+SKETCH_SHARED = 6
+# Bytes of a hash that whole rows carry to verification, where only the rows of one pair meet.
+ROW_BYTES = 5
 PIECE_TEXTS = 1 << (64 - HASH_BITS)
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
+_SKETCHED = _U(1 << 60)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _BASE = 0xD6E8FEB86659FD93
 _POWERS: dict[int, np.ndarray] = {}
@@ -139,25 +148,34 @@ def _entries(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def class_rows(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """Two kinds of rows (common, id, n, f1, f2) in one pass over (id, text).
 
-    Per document the size and the fingerprint of its shingle set; and per piece of text each
-    shingle that at least three of its classes hold (hash in ``id``, number of classes in ``n``).
+    Per document the size and the fingerprint of its shingle set; and per stretch of text each
+    shingle that at least two of its classes hold (hash in ``id``, number of classes in ``n``).
     """
 
     def run(batches):
+        held, total, seen = [], 0, set()
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 22, PIECE_TEXTS):
+            for piece in pieces(batch, "text", 1 << 21, PIECE_TEXTS):
                 h, bounds = shingle_sets(piece, "text", n_words)
                 f1, f2 = _fingerprints(h, bounds)
                 no = pa.array(np.zeros(piece.num_rows, bool))
                 yield pa.RecordBatch.from_arrays(
                     [no, piece.column("id"), pa.array(np.diff(bounds)), _signed(f1), _signed(f2)], names
                 )
-                at, _ = _entries(bounds, _one_per_class(h, bounds, np.arange(piece.num_rows)))
-                found, counts = np.unique(h[at], return_counts=True)
-                found, counts = found[counts >= 3], counts[counts >= 3]
-                none = pa.array(np.zeros(len(found), np.int64))
-                yes = pa.array(np.ones(len(found), bool))
-                yield pa.RecordBatch.from_arrays([yes, _signed(found), pa.array(counts.astype(np.int64)), none, none], names)
+                new = np.array([k for k in range(piece.num_rows) if f1[k] not in seen and not seen.add(f1[k])], np.int64)
+                held.append(h[_entries(bounds, new)[0]])
+                total += len(held[-1])
+                if total >= STRETCH:
+                    yield often(held)
+                    held, total, seen = [], 0, set()
+        if held:
+            yield often(held)
+
+    def often(held):
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        found, counts = found[counts >= 2], counts[counts >= 2]
+        none, yes = pa.array(np.zeros(len(found), np.int64)), pa.array(np.ones(len(found), bool))
+        return pa.RecordBatch.from_arrays([yes, _signed(found), pa.array(counts.astype(np.int64)), none, none], names)
 
     names = ["common", "id", "n", "f1", "f2"]
     return docs.mapInArrow(run, "common boolean, id long, n long, f1 long, f2 long")
@@ -177,16 +195,16 @@ def common_shingles(rows: DataFrame, most: int = COMMON) -> np.ndarray:
 def packed_prefixes(
     docs: DataFrame, common: np.ndarray, buckets: int, n_words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """(bucket, entries): prefix entries of one document per class and piece of text, packed by block of columns."""
+    """(bucket, entries): prefix and sketch entries of one document per class and piece of text, packed by block of columns."""
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash.astype(np.int64)))
 
     def run(batches):
         hashes, ranks = shared.value
-        known = np.zeros(1 << 20, bool)
-        known[(hashes & _U((1 << 20) - 1)).astype(np.int64)] = True
+        known = np.zeros(1 << 24, bool)
+        known[(hashes & _U((1 << 24) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 22, PIECE_TEXTS):
+            for piece in pieces(batch, "text", 1 << 21, PIECE_TEXTS):
                 h, bounds = shingle_sets(piece, "text", n_words)
                 ids = piece.column("id").to_numpy()
                 rows = _one_per_class(h, bounds, ids)
@@ -197,7 +215,7 @@ def packed_prefixes(
                 sizes = np.bincount(owner, minlength=len(rows))
                 room = sizes - -(-percent * sizes // 100) + 1
                 rank = np.full(len(h), -1, np.int64)
-                maybe = np.flatnonzero(known[(h & _U((1 << 20) - 1)).astype(np.int64)])
+                maybe = np.flatnonzero(known[(h & _U((1 << 24) - 1)).astype(np.int64)])
                 if len(maybe):
                     place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
                     hit = hashes[place] == h[maybe]
@@ -213,7 +231,10 @@ def packed_prefixes(
                 n_often = np.bincount(owner[often], minlength=len(rows))
                 place = np.arange(len(often)) - np.repeat(np.cumsum(n_often) - n_often, n_often)
                 keep[often[place < left[owner[often]]]] = True
-                h, owner = h[keep], owner[keep]
+                # Within a row hashes ascend, so its first ones are its sketch.
+                sketch = np.arange(len(h)) - first[owner] < SKETCH
+                h = np.concatenate([h[keep], h[sketch] | _SKETCHED])
+                owner = np.concatenate([owner[keep], owner[sketch]])
                 bucket = (mix(h) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 h, owner = h[order], owner[order]
@@ -230,28 +251,32 @@ def packed_prefixes(
     return docs.mapInArrow(run, "bucket int, entries binary")
 
 
-def _first_of_column(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """For entries sorted by (column, size): the place of the first entry before each that is large enough."""
-    places = np.arange(len(h))
-    start = np.ones(len(h), bool)
-    start[1:] = h[1:] != h[:-1]
-    leader = np.maximum.accumulate(np.where(start, places, 0))
-    while True:
-        # The first member that its leader is too small for leads what follows in the column.
-        over = 100 * n[leader] < percent * n
-        if not over.any():
-            return leader
-        heads = over.copy()
-        heads[1:] &= ~(over[:-1] & (leader[1:] == leader[:-1]))
-        new = np.maximum.accumulate(np.where(heads, places, 0))
-        leader = np.where(over, new, leader)
+def _led_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (leader, member) in each column: every entry with two leaders of its column and size class,
+    the least by id and the least by the id's hash.
+
+    Size classes are two ratios of the threshold wide, in two grids half a class apart, so
+    entries of admissible sizes share a class in one grid at least.
+    """
+    scale = np.log(n) / np.log(100 / percent)
+    leaders, members = [], []
+    for grid, rank in ((g, r) for g in (0, 1) for r in (ids, mix(ids.view(np.uint64)))):
+        size_class = ((scale + grid) // 2).astype(np.int64)
+        order = np.lexsort((rank, size_class, h))
+        start = np.ones(len(h), bool)
+        start[1:] = (h[order][1:] != h[order][:-1]) | (size_class[order][1:] != size_class[order][:-1])
+        lead = order[np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))]
+        fit = (ids[lead] != ids[order]) & (100 * np.minimum(n[lead], n[order]) >= percent * np.maximum(n[lead], n[order]))
+        leaders.append(lead[fit])
+        members.append(order[fit])
+    return np.concatenate(leaders), np.concatenate(members)
 
 
 def column_blocks(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Two kinds of rows (pair, x, y, nx, ny) from each block of columns.
+    """Two kinds of rows (pair, x, y, nx, ny, shared) from each block of columns.
 
     Entries (column, document, size) of columns with more than one document; and pairs of
-    documents with their sizes, linear in the entries, for the first pass.
+    documents with their sizes and overlap counts, linear in the entries, for the first pass.
     """
 
     def run(batches):
@@ -273,21 +298,34 @@ def column_blocks(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])
         h, ids, n = h[new], ids[new], n[new]
-        none = np.zeros(len(h), np.int64)
-        yield batch_of(np.zeros(len(h), bool), h.view(np.int64), ids, n, none)
-        leader = _first_of_column(h, n, percent)
-        tail = (leader != np.arange(len(h))) & (ids[leader] != ids)
-        a, b, na, nb = ids[leader[tail]], ids[tail], n[leader[tail]], n[tail]
+        sketched = h >= _SKETCHED
+        entry = ~sketched
+        none = np.zeros(int(entry.sum()), np.int64)
+        yield from batches_of(np.zeros(len(none), bool), h[entry].view(np.int64), ids[entry], n[entry], none, none)
+        h, ids, n = h[sketched], ids[sketched], n[sketched]
+        leader, member = _led_pairs(h, ids, n, percent)
+        a, b, na, nb = ids[leader], ids[member], n[leader], n[member]
         low = a < b
-        pairs = np.unique(
-            np.column_stack([np.where(low, a, b), np.where(low, b, a), np.where(low, na, nb), np.where(low, nb, na)]), axis=0
+        pairs, counts = np.unique(
+            np.column_stack([np.where(low, a, b), np.where(low, b, a), np.where(low, na, nb), np.where(low, nb, na)]),
+            axis=0,
+            return_counts=True,
         )
-        yield batch_of(np.ones(len(pairs), bool), *pairs.T)
+        yield from batches_of(np.ones(len(pairs), bool), *pairs.T, counts.astype(np.int64))
+
+    def batches_of(*columns):
+        names = ["pair", "x", "y", "nx", "ny", "shared"]
+        for a in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + (1 << 16)])) for c in columns], names)
 
-    def batch_of(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["pair", "x", "y", "nx", "ny"])
+    return packed.repartition("bucket").mapInArrow(run, "pair boolean, x long, y long, nx long, ny long, shared long")
 
-    return packed.repartition("bucket").mapInArrow(run, "pair boolean, x long, y long, nx long, ny long")
+
+def first_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share several sketch columns. A pair that misses this is left to the second pass."""
+    pairs = blocks.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+    counted = pairs.agg(F.sum("shared").alias("shared"))
+    return counted.where(f"shared >= least({SKETCH_SHARED}, ceil(least(na, nb) / 2D))").select("a", "b")
 
 
 def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -336,7 +374,7 @@ def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) ->
     counted = live.repartition("h").mapInArrow(run, "a long, b long, na long, nb long, shared long")
     overlap = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     # Overlap outside both prefixes lies in the rest of the set whose prefix ends first.
-    rest = f"ceil({percent} * greatest(na, nb) / 100D) - 1"
+    rest = f"(ceil({percent} * greatest(na, nb) / 100D) - 1)"
     need = f"ceil({percent}D * (na + nb) / (100 + {percent}) - 1e-6)"
     return overlap.where(f"shared + {rest} >= {need}").select("a", "b")
 
@@ -349,30 +387,34 @@ def _next_true(flags: np.ndarray) -> np.ndarray:
 
 def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold, by a product of whole rows."""
+    pairs = store(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def rows(batches):
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 22, PIECE_TEXTS):
+            for piece in pieces(batch, "text", 1 << 21, PIECE_TEXTS):
                 h, bounds = shingle_sets(piece, "text", n_words)
-                raw = h.tobytes()
-                sets = [raw[8 * i : 8 * j] for i, j in zip(bounds, bounds[1:])]
+                raw = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :ROW_BYTES].tobytes()
+                sets = [raw[ROW_BYTES * i : ROW_BYTES * j] for i, j in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sets, pa.binary())], ["id", "entries"])
 
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(rows, "id long, entries binary")
+    # One plan at every size: the ids grow with the documents.
+    sets = docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(rows, "id long, entries binary")
 
     def product(batches):
         for batch in batches:
-            for piece in pieces(batch, "ea", 1 << 22, PIECE_TEXTS):
+            for piece in pieces(batch, "ea", 1 << 20, PIECE_TEXTS):
                 keys, sizes = [], []
                 for name in ("ea", "eb"):
                     raw, offsets = text_buffer(piece.column(name))
-                    sizes.append(np.diff(offsets) // 8)
+                    sizes.append(np.diff(offsets) // ROW_BYTES)
                     owner = np.repeat(np.arange(piece.num_rows, dtype=np.uint64), sizes[-1])
-                    keys.append((owner << _U(HASH_BITS)) | np.frombuffer(raw.tobytes(), np.uint64))
+                    entry = np.zeros((len(raw) // ROW_BYTES, 8), np.uint8)
+                    entry[:, :ROW_BYTES] = raw.reshape(-1, ROW_BYTES)
+                    keys.append((owner << _U(8 * ROW_BYTES)) | entry.view(np.uint64).ravel())
                 merged = np.concatenate(keys)
                 merged.sort()
-                equal = merged[1:][merged[1:] == merged[:-1]] >> _U(HASH_BITS)
+                equal = merged[1:][merged[1:] == merged[:-1]] >> _U(8 * ROW_BYTES)
                 both = np.bincount(equal.astype(np.int64), minlength=piece.num_rows)
                 linked = (both > 0) & (100 * both >= percent * (sizes[0] + sizes[1] - both))
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], ["a", "b"]).filter(pa.array(linked))
@@ -398,14 +440,14 @@ def similar_components(
     both = store(class_rows(whole, n_words), "classes")
     rows = both.where("not common")
     blocks = store(column_blocks(packed_prefixes(whole, common_shingles(both), buckets, n_words, percent), percent), "columns")
-    pairs = blocks.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    found = store(components(verified(pairs, whole, n_words, percent), "links"), "found")
-    second = verified(later_pairs(blocks.where("not pair"), found, percent), whole, n_words, percent)
-    # Copies of a class meet at its least document; these links join the verified ones.
+    # Copies of a class meet at its least document.
     least = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("least"))
     copies = rows.join(least, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    first = verified(first_pairs(blocks), whole, n_words, percent)
+    found = store(components(first.unionByName(copies), "links"), "found")
+    second = verified(later_pairs(blocks.where("not pair"), found, percent), whole, n_words, percent)
     links = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    linked = components(links.unionByName(second).unionByName(copies), "components")
+    linked = components(links.unionByName(second), "components")
     out = rows.select("id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
 
     def back(column):

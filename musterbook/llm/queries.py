@@ -36,7 +36,7 @@ def op1_quality_rules(spark, sf_dir):
 
 @query
 def op2_suffix_array_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 @query

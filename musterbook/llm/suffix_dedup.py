@@ -39,7 +39,7 @@ GRAM = 20
 MOST_STRINGS = 64
 LAST = 2**63 - 1
 PLAIN, SETTLED, STANDS = 0, 1, 2
-CHUNK = 100_000
+CHUNK = 20_000
 _U = np.uint64
 
 
@@ -161,11 +161,9 @@ def shared_segments(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -
             plain = flag == PLAIN
             shared[plain] = (low < high)[group[plain]]
             key = (bucket.astype(np.int64) << 32) | short.astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[shared]) for x in (ids, fps, start, n.astype(np.int32), key)], ["id", "fp", "start", "n", "key"]
-            )
+            yield from _batches([x[shared] for x in (ids, fps, start, n.astype(np.int32), key)], ["id", "fp", "start", "n", "key"])
 
-    packed = docs.mapInArrow(cut, "bucket int, packed binary").repartition("bucket")
+    packed = docs.mapInArrow(cut, "bucket int, packed binary").repartition(buckets // 2, "bucket")
     return packed.mapInArrow(sift, "id long, fp long, start int, n int, key long")
 
 
@@ -180,15 +178,51 @@ def _received(batches, types):
         yield [np.concatenate([p[k] for p in parts]) for k in range(len(types))]
 
 
+def _segment_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of segments that lie one after the other, a bounded stretch of ``data`` at a time."""
+    out = np.empty(len(at), np.uint64)
+    stretch = at // (1 << 20)
+    edges = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1], True])
+    for a, b in zip(edges, edges[1:]):
+        low, high = int(at[a]), int(at[b - 1] + size[b - 1])
+        out[a:b] = span_hashes(data[low:high], at[a:b] - low, at[a:b] + size[a:b] - low)
+    return out
+
+
+def _batches(columns: list[np.ndarray], names: list[str], most: int = 1 << 16):
+    for a in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + most])) for c in columns], names)
+
+
+def _united(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Occurrences (id, fp, start, length, first) with those of a document that touch joined."""
+    ids, fps, start, length, first = (c[np.lexsort((columns[2], columns[1], columns[0]))] for c in columns)
+    if not len(ids):
+        return columns
+    same = np.r_[False, (ids[1:] == ids[:-1]) & (fps[1:] == fps[:-1])]
+    # Ends grow monotonically inside a document when each document starts above the last one's ends.
+    document = np.cumsum(~same)
+    lift = document * (int((start + length).max()) + 1)
+    reach = np.maximum.accumulate(start + length + lift)
+    head = np.r_[True, ~same[1:] | (start[1:] + lift[1:] > reach[:-1])]
+    heads = np.flatnonzero(head)
+    ends = reach[np.r_[heads[1:] - 1, len(ids) - 1]] - lift[heads]
+    return [ids[heads], fps[heads], start[heads], ends - start[heads], np.minimum.reduceat(first, heads)]
+
+
 def _bytes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
     return data[at]
 
 
-def maximal_repeats(docs: DataFrame, shared: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> DataFrame:
+def maximal_repeats(
+    docs: DataFrame, shared: DataFrame, buckets: int, min_bytes: int = MIN_BYTES, later_only: bool = False
+) -> DataFrame:
     """Occurrences (id, fp, start, length, first_id) of all maximal repeats of ``shared`` segments.
 
     ``docs`` is (id, fp, text). ``first_id`` is the least document that holds the repeated string.
+    With ``later_only`` occurrences in the first document are left out and the others of one
+    document are united inside each block (``first_id`` is then the least of the united ones).
     """
     listed = shared.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "n", "key")).alias("found"))
     joined = docs.join(listed, ["id", "fp"], "left").where("found is not null")
@@ -229,31 +263,41 @@ def maximal_repeats(docs: DataFrame, shared: DataFrame, buckets: int, min_bytes:
                     [pa.array(bucket[order][edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"]
                 )
 
-    def scan(batches):
-        names = ["id", "fp", "start", "length", "first_id"]
+    def occurrences(batches):
         for data, ids, fps, start, size, first in _received(batches, STRING_TYPES):
+            size = size.astype(np.int64)
             later = first < LAST
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[later]) for x in (ids, fps, start, size.astype(np.int64), first)], names
-            )
+            yield ids[later], fps[later], start[later], size[later], first[later]
             rows = np.flatnonzero(~later)
-            ids, fps, start, size = ids[rows], fps[rows], start[rows], size[rows].astype(np.int64)
+            ids, fps, start, size = ids[rows], fps[rows], start[rows], size[rows]
             at = np.cumsum(size) - size
             for row, offset, length, least in block_repeats(data, at, size, ids, min_bytes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[row], fps[row], start[row] + offset, length, least)], names
-                )
+                yield ids[row], fps[row], start[row] + offset, length, least
+
+    def scan(batches):
+        names = ["id", "fp", "start", "length", "first_id"]
+        held, total = [], 0
+        for columns in occurrences(batches):
+            if not later_only:
+                yield from _batches(list(columns), names)
+                continue
+            held.append([c[columns[0] > columns[4]] for c in columns])
+            total += len(held[-1][0])
+            if total > 1 << 20:
+                held = [_united([np.concatenate(c) for c in zip(*held)])]
+                total = 0
+        if held:
+            yield from _batches(_united([np.concatenate(c) for c in zip(*held)]), names)
 
     packed = joined.select("id", "fp", "text", "found").mapInArrow(fill, "bucket int, packed binary")
-    return packed.repartition("bucket").mapInArrow(scan, "id long, fp long, start long, length long, first_id long")
+    return packed.repartition(buckets // 2, "bucket").mapInArrow(scan, "id long, fp long, start long, length long, first_id long")
 
 
 def block_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, min_bytes: int = MIN_BYTES):
     """Yield arrays (segment, offset in it, length, least id) of the occurrences of a block's maximal repeats."""
     if not len(at):
         return
-    content = span_hashes(data, at, at + size)
-    group = _group(content, size)
+    group = _group(_segment_hashes(data, at, size), size)
     least, most = _least(group, ids), _most(group, ids)
     # Equal segments are an interval of their whole length; its left neighbours are unknown, so it counts as maximal.
     whole = (least < most)[group]
@@ -310,22 +354,19 @@ def _array_repeats(shift, at, size, rows, groups, members, bounds, ids, least, m
     common = np.minimum(common, np.minimum(length[1:], length[:-1]))
     before = np.where(offset > 0, shift[at[rows][owner] + offset - 1].astype(np.int64), -1 - np.arange(len(offset)))
     lowest = least[groups][owner]
-    intervals = tree_intervals(common, min_bytes)
-    out = []
-    for depth, lo, hi in intervals:
-        left = before[lo : hi + 1]
-        if (left == left[0]).all():
-            continue
-        first = lowest[lo : hi + 1].min()
-        for k in range(lo, hi + 1):
-            g = groups[owner[k]]
-            out.append((bounds[g], bounds[g + 1], offset[k], depth, first))
-    if not out:
-        return
-    lo, hi, off, depth, first = np.array(out, np.int64).T
-    n = hi - lo
-    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    yield members[entry], np.repeat(off, n), np.repeat(depth, n), np.repeat(first, n)
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    found = np.array(list(tree_intervals(common, min_bytes)), np.int64).reshape(-1, 3)
+    depth, low, high = found[changes[found[:, 1]] != changes[found[:, 2]]].T
+    for k in range(0, len(depth), 1 << 12):
+        d, lo, hi = (x[k : k + (1 << 12)] for x in (depth, low, high))
+        n = hi - lo + 1
+        edges = np.cumsum(n) - n
+        suffix = np.arange(n.sum()) - np.repeat(edges, n) + np.repeat(lo, n)
+        first = np.repeat(np.minimum.reduceat(lowest[suffix], edges), n)
+        d, g = np.repeat(d, n), groups[owner[suffix]]
+        n = bounds[g + 1] - bounds[g]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[g], n)
+        yield members[entry], np.repeat(offset[suffix], n), np.repeat(d, n), np.repeat(first, n)
 
 
 def tree_intervals(common: np.ndarray, least: int):
@@ -347,53 +388,50 @@ def tree_intervals(common: np.ndarray, least: int):
                 stack.append((value, left))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the ``kept`` bytes.
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, with_kept: bool = True
+) -> DataFrame:
+    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and (``with_kept``) the ``kept`` bytes.
 
     Removed is each byte of a string of ``min_bytes`` bytes that starts in a smaller document, too.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A block is unpacked whole, so blocks are a fraction of a shuffle partition.
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"),
         F.xxhash64(F.col(text)).alias("fp"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     shared = shared_segments(whole, buckets, min_bytes)
-    repeats = maximal_repeats(whole, shared, buckets, min_bytes)
-    spans = (
-        repeats.where("id > first_id")
-        .groupBy("id", "fp")
-        .agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    )
+    repeats = maximal_repeats(whole, shared, buckets, min_bytes, later_only=True)
+    spans = repeats.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
     def apply(batches):
         for batch in batches:
-            rows = []
-            found = batch.column("spans")
-            for k, (doc, content) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())):
-                raw = content.encode()
-                kept, merged = raw, []
-                if found[k].is_valid:
-                    values = found[k].values
-                    start, length = values.field(0).to_numpy(), values.field(1).to_numpy()
-                    order = np.argsort(start, kind="stable")
-                    start = start[order]
-                    end = np.maximum.accumulate(start + length[order])
-                    head = np.r_[True, start[1:] > end[:-1]]
-                    merged = list(zip(start[head].tolist(), end[np.r_[head[1:], True]].tolist()))
-                    parts, at = [], 0
-                    for a, b in merged:
-                        parts.append(raw[at:a])
-                        at = b
-                    kept = b"".join([*parts, raw[at:]])
-                rows.append(
-                    (None if doc == LAST else doc, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)
-                )
-            if rows:
-                columns = zip(zip(*rows), [pa.int64()] * 4 + [pa.string(), pa.binary()])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    return whole.join(spans, ["id", "fp"], "left").select("id", "text", "spans").mapInArrow(
-        apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+            for piece in pieces(batch, "text"):
+                rows = [
+                    (None if doc == LAST else doc, *cut(content.encode(), span))
+                    for doc, content, span in zip(
+                        piece.column("id").to_pylist(), piece.column("text").to_pylist(), piece.column("spans")
+                    )
+                ]
+                columns = list(zip(*rows))[: len(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    def cut(raw, spans):
+        if not spans.is_valid:
+            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
+        start, length = (spans.values.field(k).to_numpy() for k in range(2))
+        order = np.argsort(start, kind="stable")
+        start = start[order]
+        end = np.maximum.accumulate(start + length[order])
+        head = np.r_[True, start[1:] > end[:-1]]
+        edges = list(zip(start[head].tolist(), end[np.r_[head[1:], True]].tolist()))
+        ends = [0, *(b for _, b in edges)]
+        kept = b"".join([raw[a:b] for a, b in zip(ends, [*(a for a, _ in edges), len(raw)])])
+        return len(raw), len(raw) - len(kept), len(edges), hashlib.sha256(kept).hexdigest(), kept
+
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return whole.join(spans, ["id", "fp"], "left").select("id", "text", "spans").mapInArrow(apply, schema)
