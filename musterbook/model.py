@@ -44,7 +44,6 @@ LEAVE_LABELS = {
     "O": "Other",
     "T": "Tour",
 }
-FIRST_MONTH = dt.date(2024, 1, 1)
 
 MASTER_COLUMNS = ["emp_name", "designation", "division"]
 PUNCH_COLUMNS = [

@@ -93,27 +93,3 @@ def employees_without_records(
     return candidates.join(records.select("emp_id").distinct(), "emp_id", "left_anti").select(
         "emp_id", *MASTER_COLUMNS
     )
-
-
-def broadcast_size_known(df: DataFrame) -> bool:
-    """Whether Catalyst's own estimate of a frame is within the broadcast threshold.
-
-    Without access to the estimate (a remote session) the answer is no.
-    """
-    if not hasattr(df, "_jdf"):
-        return False
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= int(threshold)
-
-
-def restrict_to(fact: DataFrame, emp: DataFrame) -> DataFrame:
-    """Drop facts of employees outside the selection, if that costs no shuffle.
-
-    Only a reduction ahead of an aggregation whose result is joined to ``emp``
-    anyway: with a selection too large to broadcast the facts pass unchanged.
-    """
-    chosen = emp.select("emp_id")
-    if not broadcast_size_known(chosen):
-        return fact
-    return fact.join(F.broadcast(chosen), "emp_id", "left_semi")

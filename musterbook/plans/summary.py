@@ -22,7 +22,6 @@ from musterbook.model import (
     ACTIVE,
     ALL_DIVISIONS,
     CODES,
-    FIRST_MONTH,
     MASTER_COLUMNS,
     Cutoffs,
     Tables,
@@ -37,11 +36,10 @@ from musterbook.operators.days import (
     summary_day_rows,
 )
 from musterbook.operators.filters import date_filter, division_cat_filter, month_filter
-from musterbook.operators.joins import restrict_to
 from musterbook.operators.records import unified_records
 
 COUNT_COLUMNS = [*CODES, "other", "present_days", "total_days"]
-LEAVE_SETS = [f"leave_{c}" for c in [*CODES, "other"]]
+LEAVE_SETS = [f"leave_{c}" for c in [*CODES, "other", "missing"]]
 SET_COLUMNS = [*LEAVE_SETS, "punched", "punctual", "late"]
 EVERY_SEVENTH_DAY = sum(1 << day for day in range(0, 31, 7))
 
@@ -71,8 +69,11 @@ def punch_sets(attend: DataFrame, cutoffs: Cutoffs) -> DataFrame:
 
 
 def leave_sets(leave: DataFrame) -> DataFrame:
-    """Per employee and month: the days of each leave code."""
-    kind = F.coalesce(position(F.col("leave_type"), CODES), F.lit(len(LEAVE_SETS))).alias("kind")
+    """Per employee and month: the days of each leave code, of unlisted codes and of rows without one."""
+    kind = F.coalesce(
+        position(F.col("leave_type"), CODES),
+        F.when(F.col("leave_type").isNull(), len(LEAVE_SETS)).otherwise(len(LEAVE_SETS) - 1),
+    ).alias("kind")
     rows = leave.select("emp_id", "date", kind)
     sets = [days_where(f"kind = {i}", name) for i, name in enumerate(LEAVE_SETS, start=1)]
     return by_employee_month(rows, sets)
@@ -100,7 +101,7 @@ def first_named(leave_first: bool) -> list[str]:
     order, with the punches before or after them."""
     taken = "0L" if leave_first else "punched"
     named = {}
-    for code in [*CODES, "other"]:
+    for code in [*CODES, "other", "missing"]:
         named[code] = f"leave_{code} & ~({taken})"
         taken = f"{taken} | leave_{code}"
     named["P"] += f" | punched & ~({taken})" if leave_first else " | punched"
@@ -144,7 +145,8 @@ def count_codes(
     final |= {
         "P": "is_P & ~off & ~late_days",
         "Late": "(is_Late | is_P & late_days) & ~off",
-        "A": "(is_A | days & ~recorded) & ~off",
+        # A record without a code counts as absence.
+        "A": "(is_A | is_missing | days & ~recorded) & ~off",
         "H": "is_H | off",
         "EL": "is_EL",
     }
@@ -159,13 +161,8 @@ def count_codes(
     return counted.withColumn("present_days", F.col("total_days") - F.col("A"))
 
 
-def selected(tables: Tables, chosen: DataFrame, fact: DataFrame) -> DataFrame:
-    """Facts ahead of their reduction; narrowed only where employees were chosen at all."""
-    return fact if chosen is tables.emp else restrict_to(fact, chosen)
-
-
 def _summary(
-    tables: Tables,
+    holidays: DataFrame,
     chosen: DataFrame,
     leave: DataFrame,
     attend: DataFrame,
@@ -175,9 +172,8 @@ def _summary(
     placeholders: str | None,
     cutoffs: Cutoffs,
 ) -> DataFrame:
-    sets = day_sets(
-        selected(tables, chosen, leave), selected(tables, chosen, attend), cutoffs
-    )
+    # Facts are reduced first and meet the chosen employees then: one plan at every size.
+    sets = day_sets(leave, attend, cutoffs)
     master = chosen.select("emp_id", *MASTER_COLUMNS, "cat", "creation_date", "active_status")
     if placeholders:
         master = master.select("*", F.explode(months).alias("month"))
@@ -189,7 +185,7 @@ def _summary(
     else:
         joined = master.join(sets, "emp_id", "inner")
     eligible = joined.filter(F.col("creation_date") <= window_end_of(F.col("month"), as_of))
-    return count_codes(eligible, tables.holidays, as_of, leave_first)
+    return count_codes(eligible, holidays, as_of, leave_first)
 
 
 def default_placeholders(division: str | None) -> str | None:
@@ -212,7 +208,7 @@ def monthly_summary(
         placeholders = default_placeholders(division)
     start = month_start(month)
     return _summary(
-        tables,
+        month_filter(tables.holidays, "hol_date", month),
         division_cat_filter(tables.emp, division, cat),
         month_filter(tables.leave, "date", month),
         month_filter(tables.attend, "log_date", month),
@@ -227,20 +223,21 @@ def monthly_summary(
 def summary_all_months(
     tables: Tables,
     as_of: dt.date,
-    first_month: dt.date | str = FIRST_MONTH,
+    first_month: dt.date | str,
     leave_first: bool = True,
     placeholders: str | None = None,
     cutoffs: Cutoffs = Cutoffs(),
 ) -> DataFrame:
-    """The summary of every month up to yesterday's, all divisions and categories, in one job.
+    """The summary of every month from ``first_month`` to yesterday's, all divisions and categories, in one job.
 
     Without placeholders it holds the employees with a record in the month, as the
     choice ``All`` does; with them, also those without.
     """
     first, last = month_start(first_month), month_start(as_of - dt.timedelta(days=1))
-    months = F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 MONTH"))
+    joined = F.greatest(F.lit(first), F.trunc("creation_date", "MM"))
+    months = F.when(joined <= F.lit(last), F.sequence(joined, F.lit(last), F.expr("INTERVAL 1 MONTH")))
     return _summary(
-        tables,
+        date_filter(tables.holidays, "hol_date", first, next_month(last)),
         tables.emp,
         date_filter(tables.leave, "date", first, next_month(last)),
         date_filter(tables.attend, "log_date", first, next_month(last)),
@@ -274,11 +271,11 @@ def summary_days(
     if placeholders == "default":
         placeholders = default_placeholders(division)
     chosen = division_cat_filter(tables.emp, division, cat)
-    leave = selected(tables, chosen, month_filter(tables.leave, "date", month))
-    attend = selected(tables, chosen, month_filter(tables.attend, "log_date", month))
-    records = unified_records(leave, attend, leave_first)
+    records = unified_records(
+        month_filter(tables.leave, "date", month), month_filter(tables.attend, "log_date", month), leave_first
+    )
     days = employee_days(summary_day_rows(records, cutoffs), chosen, month, as_of, placeholders)
-    return late_override(day_attendance(days, tables.holidays)).select(
+    return late_override(day_attendance(days, month_filter(tables.holidays, "hol_date", month))).select(
         "emp_id", *MASTER_COLUMNS, "date", "attendance"
     )
 

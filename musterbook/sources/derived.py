@@ -108,21 +108,19 @@ def holiday_table(events: DataFrame, orders: DataFrame) -> DataFrame:
     return marked.union(orders.filter(christmas).select(order_day.alias("hol_date")))
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class DerivedTables:
     """The four tables over a folder of test tables, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._folder = spark, sf_dir
+        self._schemas: dict[str, StructType] = {}
 
     def _read(self, name: str) -> DataFrame:
-        """A test table; its schema is read off the files once per path."""
+        """A test table; its schema is read off the files once."""
         path = f"{self._folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self._spark.read.parquet(path).schema
-        return self._spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(self._schemas[path]).parquet(path)
 
     @cached_property
     def emp(self) -> DataFrame:

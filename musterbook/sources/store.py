@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterbook.model import (
@@ -15,6 +16,7 @@ from musterbook.model import (
     Tables,
     month_start,
 )
+from musterbook.operators.counts import summary_ordered
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
@@ -55,16 +57,33 @@ def read_jdbc_table(
     until: dt.date | None = None,
     partitions: int = 1,
 ) -> DataFrame:
-    """A table of a live database; a date range given is read in that many parallel slices."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, user=user, password=password)
-    if date_column is not None:
-        reader = reader.options(
-            partitionColumn=date_column,
-            lowerBound=str(first),
-            upperBound=str(until),
-            numPartitions=str(partitions),
-        )
-    return reader.load()
+    """A table of a live database; of a date range only its rows, in that many parallel slices."""
+    options = jdbc_slices(date_column, first, until, partitions)
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, user=user, password=password, **options)
+    rows = reader.load()
+    # Bounds only set the slices; the filter is what the database evaluates.
+    return rows.filter(in_range(date_column, first, until)) if options else rows
+
+
+def jdbc_slices(
+    date_column: str | None, first: dt.date | None, until: dt.date | None, partitions: int
+) -> dict[str, str]:
+    """Reader options of a date range; all of column, first and end or none of them."""
+    given = [x is not None for x in (date_column, first, until)]
+    if not any(given):
+        return {}
+    if not all(given):
+        raise ValueError("a date range needs its column, first date and end")
+    return {
+        "partitionColumn": date_column,
+        "lowerBound": str(first),
+        "upperBound": str(until),
+        "numPartitions": str(partitions),
+    }
+
+
+def in_range(column: str, first: dt.date, until: dt.date) -> Column:
+    return (F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(until))
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -79,13 +98,13 @@ def json_record_fields(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def summary_name(division: str, cat: str, month: dt.date | str) -> str:
-    return f"{division}_{cat}_{month_start(month):%B_%Y}.csv"
+    return quote(f"{division}_{cat}_{month_start(month):%B_%Y}.csv", safe=" ,&()")
 
 
 def summary_csv(
     summary: DataFrame, folder: str, division: str, cat: str, month: dt.date | str
 ) -> str:
-    """Write a summary as a CSV directory named after its choice; returns the path."""
+    """Write a summary, in its order, as a CSV directory named after its choice; returns the path."""
     path = f"{folder}/{summary_name(division, cat, month)}"
-    summary.write.option("header", True).csv(path)
+    summary_ordered(summary).drop("designation_rank").write.option("header", True).csv(path)
     return path

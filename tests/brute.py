@@ -26,7 +26,7 @@ def punch_key(p):
 
 
 def code_key(code):
-    return (CODES.index(code) if code in CODES else len(CODES), code)
+    return (CODES.index(code) if code in CODES else len(CODES), code is None, code or "")
 
 
 def flatten(values):

@@ -50,7 +50,7 @@ def random_tables(seed, people=40, days=110, hot=0):
             )
             attend += [row] * rng.choice([1, 1, 1, 2])
         else:
-            leave.append((emp_id, date, rng.choice(["CL", "EL", "SL", "ML", "RH", "O", "T", "WFH", "XX", "P", "A", "H"])))
+            leave.append((emp_id, date, rng.choice(["CL", "EL", "SL", "ML", "RH", "O", "T", "WFH", "XX", "P", "A", "H", None])))
     holidays = [START + dt.timedelta(days=rng.randrange(days)) for _ in range(12)] * 2
     return {"emp": emp, "attend": attend, "leave": leave, "holidays": holidays}
 

@@ -7,8 +7,8 @@ import re
 import pytest
 
 from conftest import day, person, punch
-from musterbook.operators.filters import division_cat_filter
-from musterbook.operators.joins import restrict_to
+from musterbook.model import CODES
+from musterbook.operators.counts import status_pivot
 from musterbook.plans.calendar import employee_calendar
 from musterbook.plans.summary import monthly_summary, summary_all_months, summary_days
 from musterbook.sources import store
@@ -47,7 +47,7 @@ def test_summary_reads_only_what_it_needs(stored):
 
 
 def test_summary_combines_hashed_before_its_exchange(stored):
-    text = plan(summary_all_months(stored, dt.date(2024, 4, 1)))
+    text = plan(summary_all_months(stored, dt.date(2024, 4, 1), JAN))
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
     assert re.search(r"HashAggregate\(keys=\[emp_id#\d+, .*partial_bit_or", text)
     assert "Generate" not in text
@@ -61,28 +61,30 @@ def test_one_employee_is_a_pushed_filter(stored):
 
 
 def test_leave_and_punches_meet_without_another_exchange(stored):
-    text = plan(summary_all_months(stored, dt.date(2024, 4, 1)))
+    text = plan(summary_all_months(stored, dt.date(2024, 4, 1), JAN))
     after_union = text[: text.index("Union")].splitlines()[-3:]
     assert not any("Exchange" in line for line in after_union)
 
 
-def test_selection_reaches_the_facts_as_semi_join(stored):
-    text = plan(monthly_summary(stored, JAN, CLOSED, "Surgery", "Faculty"))
-    assert text.count("LeftSemi") == 2 and "BroadcastHashJoin" in text
+def test_selection_does_not_change_the_facts_plan(stored):
+    """Facts are reduced alike whatever is chosen; no size decides about a semi join."""
+    for choice in (("All", None), ("Surgery", "Faculty"), ("Medicine", None)):
+        text = plan(monthly_summary(stored, JAN, CLOSED, *choice))
+        assert "LeftSemi" not in text and len(re.findall(r"/attend\]", text)) == 1
 
 
-def test_selection_too_large_to_broadcast(spark, stored):
-    chosen = division_cat_filter(stored.emp, "Surgery", "Faculty")
-    assert {r["emp_id"] for r in restrict_to(stored.leave, chosen).collect()} == {"1"}
-    expected = monthly_summary(stored, JAN, CLOSED, "Medicine").collect()
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert restrict_to(stored.leave, chosen).count() == stored.leave.count()
-        assert "LeftSemi" not in plan(monthly_summary(stored, JAN, CLOSED, "Medicine"))
-        assert monthly_summary(stored, JAN, CLOSED, "Medicine").collect() == expected
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+def test_holidays_are_read_for_the_month_only(stored):
+    for table in (monthly_summary(stored, JAN, CLOSED), summary_days(stored, JAN, CLOSED)):
+        assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(hol_date,2024-01-01\)", plan(table))
+
+
+@pytest.mark.parametrize("leave_first", [True, False])
+def test_leave_without_a_type_is_absence(make_tables, leave_first):
+    t = make_tables([person("1")], [punch("1", day(4), "08:00:00", "17:00:00")], [("1", day(d), None) for d in (3, 4)])
+    counted = monthly_summary(t, JAN, CLOSED, leave_first=leave_first).first()
+    by_day = status_pivot(summary_days(t, JAN, CLOSED, leave_first=leave_first)).first()
+    assert [counted[c] for c in [*CODES, "other"]] == [by_day[c] for c in [*CODES, "other"]]
+    assert counted["other"] == 0 and counted["P"] == (0 if leave_first else 1)
 
 
 @pytest.mark.parametrize("build", [monthly_summary, summary_days, employee_calendar])
@@ -117,6 +119,6 @@ def test_library_never_collects():
 
 
 def test_stored_results(stored):
-    rows = summary_all_months(stored, dt.date(2024, 4, 1)).orderBy("month", "emp_id").collect()
+    rows = summary_all_months(stored, dt.date(2024, 4, 1), JAN).orderBy("month", "emp_id").collect()
     assert [(r["month"].month, r["emp_id"], r["P"], r["CL"]) for r in rows][:2] == [(1, "1", 3, 1), (1, "2", 3, 0)]
     assert len(rows) == 6

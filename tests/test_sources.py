@@ -43,3 +43,12 @@ def test_shared_folder_follows_the_cluster():
     assert shared_folder(session("local[2]"), "x") != shared_folder(session("local[2]"), "x")
     with pytest.raises(ValueError):
         shared_folder(session("yarn"), "x")
+
+
+def test_jdbc_range_is_whole_or_absent():
+    first, until = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    assert store.jdbc_slices(None, None, None, 4) == {}
+    assert store.jdbc_slices("log_date", first, until, 4)["upperBound"] == "2024-02-01"
+    for part in (("log_date", None, None), ("log_date", first, None), (None, first, until)):
+        with pytest.raises(ValueError):
+            store.jdbc_slices(*part, 4)
