@@ -177,7 +177,8 @@ def mix_sources(
         ).alias("block"),
     )
     shared = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    met = parts.join(times, ["source_key", "block"], "left").withColumn(
+    # Drawn blocks grow with the words: never broadcast.
+    met = parts.join(times.hint("merge"), ["source_key", "block"], "left").withColumn(
         "words", F.when(F.col("size") > 0, shared * F.coalesce("times", F.lit(0))).otherwise(0)
     )
     # Documents of size 0 all stand before a block's first word; their number keeps them apart.
