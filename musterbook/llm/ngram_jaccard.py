@@ -7,14 +7,19 @@ least document. Two classes of Jaccard similarity ``t`` share a shingle among th
 product; the order is "seldom first", so shingles of common passages come last. They are dealt
 into blocks of columns by hash.
 
+An entry carries its place in that order. Two classes that need an overlap of ``o`` shingles share at
+least ``k`` among the first ``n - o + k`` of each, since at most ``o - k`` common ones lie behind
+the prefix that ends first. ``o`` follows from both sizes, so this is shorter than each
+one's own prefix: classes with many shingles of their own meet in few columns or in none.
+
 First pass: the least hashes of each class (a bottom-k sketch) are columns of a second, narrow
 matrix. Inside its blocks each class is paired with the least one of its column and size:
 pairs grow with the entries, not with their square. Pairs that share several columns are
 verified and form preliminary components, together with equal rows. Second pass: the block product
-of columns over classes of *different* components accumulates overlap counts per pair,
-and pairs that cannot reach the overlap their sizes demand are dropped before verification.
-Every pair over the threshold shares a prefix column, so it is verified or already
-inside one component: the components are exact.
+of columns over classes of *different* components accumulates overlap counts per pair inside
+these shorter prefixes, and pairs with fewer than ``k`` are dropped before verification.
+Every pair over the threshold has as many, so it is verified or already inside one
+component: the components are exact.
 
 Verification is a product too: whole rows of the pairs' classes are multiplied
 entry by entry, counting equal (pair, shingle) keys.
@@ -42,6 +47,8 @@ SKETCH = 16
 SKETCH_SHARED = 6
 # Bytes of a hash that whole rows carry to verification, where only the rows of one pair meet.
 ROW_BYTES = 5
+# ``k`` takes this part of the room between a pair's shorter prefixes and the entries at hand.
+ROOM_PART = 16
 PIECE_TEXTS = 1 << (64 - HASH_BITS)
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -223,7 +230,8 @@ def packed_prefixes(
                 seldom = rank < 0
                 before = np.cumsum(seldom) - seldom
                 first = np.cumsum(sizes) - sizes
-                keep = seldom & (before - before[first][owner] < room[owner])
+                position = before - before[first][owner]
+                keep = seldom & (position < room[owner])
                 # Common entries fill what room is left, the least common first.
                 left = room - np.bincount(owner[seldom], minlength=len(rows))
                 often = np.flatnonzero(~seldom)
@@ -231,19 +239,21 @@ def packed_prefixes(
                 n_often = np.bincount(owner[often], minlength=len(rows))
                 place = np.arange(len(often)) - np.repeat(np.cumsum(n_often) - n_often, n_often)
                 keep[often[place < left[owner[often]]]] = True
+                position[often] = np.bincount(owner[seldom], minlength=len(rows))[owner[often]] + place
                 # Within a row hashes ascend, so its first ones are its sketch.
                 sketch = np.arange(len(h)) - first[owner] < SKETCH
                 h = np.concatenate([h[keep], h[sketch] | _SKETCHED])
                 owner = np.concatenate([owner[keep], owner[sketch]])
+                position = np.concatenate([position[keep], np.zeros(int(sketch.sum()), np.int64)]).astype(np.int32)
                 bucket = (mix(h) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                h, owner = h[order], owner[order]
+                h, owner, position = h[order], owner[order], position[order]
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(edges))
                 blobs = []
                 for k in used:
                     part = slice(edges[k], edges[k + 1])
-                    blobs.append(pack(h[part], ids[rows][owner[part]], sizes[owner[part]].astype(np.int32)))
+                    blobs.append(pack(h[part], ids[rows][owner[part]], sizes[owner[part]].astype(np.int32), position[part]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"]
                 )
@@ -275,15 +285,15 @@ def _led_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int) -> t
 def column_blocks(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Two kinds of rows (pair, x, y, nx, ny, shared) from each block of columns.
 
-    Entries (column, document, size) of columns with more than one document; and pairs of
+    Entries (column, document, size, place in ``ny``) of columns with more than one document; and pairs of
     documents with their sizes and overlap counts, linear in the entries, for the first pass.
     """
 
     def run(batches):
-        parts = [unpack(b.as_py(), np.uint64, np.int64, np.int32) for batch in batches for b in batch.column("entries")]
+        parts = [unpack(b.as_py(), np.uint64, np.int64, np.int32, np.int32) for batch in batches for b in batch.column("entries")]
         if not parts:
             return
-        h, ids, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        h, ids, n, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
         del parts
         order = np.argsort(h, kind="stable")
         ordered = h[order]
@@ -292,16 +302,17 @@ def column_blocks(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
         several[1:] |= same
         several[:-1] |= same
         chosen = order[several]
-        h, ids, n = h[chosen], ids[chosen], n[chosen].astype(np.int64)
-        order = np.lexsort((ids, n, h))
-        h, ids, n = h[order], ids[order], n[order]
+        h, ids, n, place = h[chosen], ids[chosen], n[chosen].astype(np.int64), place[chosen].astype(np.int64)
+        # Of different rows of one id and size the least place counts.
+        order = np.lexsort((place, ids, n, h))
+        h, ids, n, place = h[order], ids[order], n[order], place[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])
-        h, ids, n = h[new], ids[new], n[new]
+        h, ids, n, place = h[new], ids[new], n[new], place[new]
         sketched = h >= _SKETCHED
         entry = ~sketched
         none = np.zeros(int(entry.sum()), np.int64)
-        yield from batches_of(np.zeros(len(none), bool), h[entry].view(np.int64), ids[entry], n[entry], none, none)
+        yield from batches_of(np.zeros(len(none), bool), h[entry].view(np.int64), ids[entry], n[entry], place[entry], none)
         h, ids, n = h[sketched], ids[sketched], n[sketched]
         leader, member = _led_pairs(h, ids, n, percent)
         a, b, na, nb = ids[leader], ids[member], n[leader], n[member]
@@ -331,11 +342,11 @@ def first_pairs(blocks: DataFrame) -> DataFrame:
 def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that share prefix columns, with enough overlap to qualify.
 
-    ``entries`` (x column, y document, nx size). Each block of columns is multiplied with itself,
+    ``entries`` (x column, y document, nx size, ny place). Each block of columns is multiplied with itself,
     members of one component left out, and its overlap counts are summed per pair.
     """
     labelled = entries.join(found.select(F.col("node").alias("y"), "component"), "y", "left").select(
-        F.col("x").alias("h"), F.col("y").alias("id"), F.col("nx").alias("n"), F.coalesce("component", "y").alias("component")
+        F.col("x").alias("h"), F.col("y").alias("id"), F.col("nx").alias("n"), F.col("ny").alias("place"), F.coalesce("component", "y").alias("component")
     )
     several = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     live = labelled.join(several.select("h"), "h", "left_semi")
@@ -345,9 +356,9 @@ def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) ->
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        h, ids, n, component = (table.column(c).to_numpy() for c in ("h", "id", "n", "component"))
+        h, ids, n, place, component = (table.column(c).to_numpy() for c in ("h", "id", "n", "place", "component"))
         order = np.lexsort((component, h))
-        h, ids, n, component = h[order], ids[order], n[order], component[order]
+        h, ids, n, place, component = h[order], ids[order], n[order], place[order], component[order]
         # An entry meets all entries of later components in its column.
         edge = np.ones(len(h), bool)
         edge[:-1] = (h[1:] != h[:-1]) | (component[1:] != component[:-1])
@@ -364,6 +375,9 @@ def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) ->
             at = upto
             fit = (100 * n[left] >= percent * n[right]) & (100 * n[right] >= percent * n[left]) & (ids[left] != ids[right])
             left, right = left[fit], right[fit]
+            need, k = _bounds(n[left], n[right], percent)
+            fit = (place[left] < n[left] - need + k) & (place[right] < n[right] - need + k)
+            left, right = left[fit], right[fit]
             low = ids[left] < ids[right]
             x, y = np.where(low, left, right), np.where(low, right, left)
             pairs, counts = np.unique(np.column_stack([ids[x], ids[y], n[x], n[y]]), axis=0, return_counts=True)
@@ -373,10 +387,15 @@ def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) ->
 
     counted = live.repartition("h").mapInArrow(run, "a long, b long, na long, nb long, shared long")
     overlap = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    # Overlap outside both prefixes lies in the rest of the set whose prefix ends first.
-    rest = f"(ceil({percent} * greatest(na, nb) / 100D) - 1)"
-    need = f"ceil({percent}D * (na + nb) / (100 + {percent}) - 1e-6)"
-    return overlap.where(f"shared + {rest} >= {need}").select("a", "b")
+    need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    least = f"1 + ({need} - ({percent} * greatest(na, nb) + 99) div 100) div {ROOM_PART}"
+    return overlap.where(f"shared >= {least}").select("a", "b")
+
+
+def _bounds(na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap that two sizes need, and how much of it lies in the first ``n - need + k`` entries of both."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    return need, 1 + (need + (-percent * np.maximum(na, nb) // 100)) // ROOM_PART
 
 
 def _next_true(flags: np.ndarray) -> np.ndarray:
