@@ -14,7 +14,7 @@ emp AS (
          CASE WHEN c_custkey % 40 = 13 THEN DATE '2024-02-15'
               WHEN c_custkey % 6 = 5 THEN DATE '2024-01-10' ELSE DATE '1994-01-01' END AS creation_date,
          CASE WHEN c_custkey % 11 = 4 THEN 'I' ELSE 'A' END AS active_status
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= -500),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
 visits AS (
   SELECT user_id, CAST(ts AS DATE) AS log_date, CASE WHEN hour(ts) < 20 THEN 'D1' ELSE 'D2' END AS device,
          min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, max(value) AS top,
@@ -28,15 +28,21 @@ attend AS (
          CASE WHEN n > 1 THEN CASE device WHEN 'D1' THEN 'Gate A' ELSE 'Gate B' END END AS out_location,
          CASE WHEN n > 1 THEN strftime(last_ts, '%Y-%m-%d %H:%M:%S')
               WHEN NOT failed THEN '0000-00-00 00:00:00' END AS out_time
-  FROM visit_copies),
+  FROM visit_copies
+  UNION ALL
+  SELECT CAST(90000000 + s_suppkey AS VARCHAR), DATE '2024-01-03' + CAST(s_suppkey % 25 AS INTEGER), 'D1', 'Gate A',
+         strftime(DATE '2024-01-03' + CAST(s_suppkey % 25 AS INTEGER), '%Y-%m-%d 09:15:00'), 'D1', NULL, NULL
+  FROM supplier),
 leaves AS (
   SELECT lpad(CAST(u AS VARCHAR), 8, '0') AS emp_id, d AS date,
-         (['CL', 'EL', 'SL', 'ML', 'RH', 'O', 'T', 'WFH'])[k % 8 + 1] AS leave_type
+         (['CL', 'EL', 'SL', 'ML', 'RH', 'O', 'T', 'WFH', 'STUDY', NULL])[k % 10 + 1] AS leave_type
   FROM (SELECT user_id AS u, CAST(ts AS DATE) AS d, min(event_id) AS k
         FROM events WHERE event_type = 'signup' GROUP BY 1, 2
         UNION ALL
         SELECT o_custkey, CAST(o_orderdate AS DATE), min(o_orderkey)
-        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2)),
+        FROM orders GROUP BY 1, 2
+        UNION ALL
+        SELECT 90000000 + s_suppkey, DATE '2024-01-03' + CAST(s_suppkey % 20 AS INTEGER), s_suppkey FROM supplier)),
 hol AS (
   SELECT CAST(ts AS DATE) AS hol_date FROM events WHERE day(ts) IN (1, 15, 26)
   UNION ALL

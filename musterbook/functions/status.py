@@ -32,9 +32,10 @@ def exit_status(out_text: Column, date: Column, cutoffs: Cutoffs) -> Column:
 
 
 def time_status(attendance: Column, entry: Column, exit_: Column) -> Column:
+    """Only a code other than ``P`` clears the status; a day without a code keeps that of its punch."""
     late = entry == "Late entry"
     return F.when(
-        (attendance == "P") & entry.isNotNull(),
+        F.coalesce(attendance == "P", F.lit(True)) & entry.isNotNull(),
         F.when(exit_ == "On time exit", F.when(late, "Late entry").otherwise("On time"))
         .when(exit_ == "Early exit", F.when(late, "Late entry & early exit").otherwise("Early exit"))
         .when(exit_ == "No exit", F.when(late, "Late entry & No exit").otherwise("No exit")),

@@ -15,7 +15,8 @@ DESIGNATION_OF = [
     "Professor", "Associate Professor", "Statistician", "Assistant Professor", "Senior Resident",
     "Junior Resident", "Tutor", "Other", "Visiting Fellow",
 ]
-LEAVE_CODE_OF = ["CL", "EL", "SL", "ML", "RH", "O", "T", "WFH"]
+# The last two with a name are unlisted codes, the very last stands for a leave row without a type.
+LEAVE_CODE_OF = ["CL", "EL", "SL", "ML", "RH", "O", "T", "WFH", "STUDY", None]
 CAT_OF = {"BUILDING": "Faculty", "MACHINERY": "Senior Resident", "AUTOMOBILE": "Junior Resident"}
 
 
@@ -39,8 +40,7 @@ def emp_table(customer: DataFrame, nation: DataFrame) -> DataFrame:
         F.when(key % 40 == 13, "2024-02-15").when(key % 6 == 5, "2024-01-10").otherwise("1994-01-01")
     )
     return (
-        customer.filter("c_acctbal >= -500")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             _padded(key).alias("emp_id"),
             F.col("c_name").alias("emp_name"),
@@ -94,10 +94,34 @@ def leave_table(events: DataFrame, orders: DataFrame) -> DataFrame:
         return days.select(_padded(F.col(user)).alias("emp_id"), "date", code)
 
     signups = coded(events.filter("event_type = 'signup'"), "user_id", F.col("ts"), "event_id")
-    earlier = coded(
-        orders.filter("o_orderstatus = 'P'"), "o_custkey", F.col("o_orderdate"), "o_orderkey"
+    return signups.union(coded(orders, "o_custkey", F.col("o_orderdate"), "o_orderkey"))
+
+
+def outsider_punches(supplier: DataFrame) -> DataFrame:
+    """One punch without exit per supplier: records of people without a master row."""
+    day = F.date_add(F.lit("2024-01-03").cast("date"), (F.col("s_suppkey") % 25).cast("int"))
+    none = F.lit(None).cast("string")
+    return supplier.select(
+        _outsider_id(),
+        day.alias("log_date"),
+        F.lit("D1").alias("in_device_id"),
+        F.lit("Gate A").alias("in_location"),
+        F.concat(day.cast("string"), F.lit(" 09:15:00")).alias("in_time"),
+        F.lit("D1").alias("out_device_id"),
+        none.alias("out_location"),
+        none.alias("out_time"),
     )
-    return signups.union(earlier)
+
+
+def outsider_leave(supplier: DataFrame) -> DataFrame:
+    """One leave row per supplier, on the day of the punch for some of them."""
+    key = F.col("s_suppkey")
+    day = F.date_add(F.lit("2024-01-03").cast("date"), (key % 20).cast("int"))
+    return supplier.select(_outsider_id(), day.alias("date"), _pick(LEAVE_CODE_OF, key).alias("leave_type"))
+
+
+def _outsider_id() -> Column:
+    return _padded(F.col("s_suppkey") + 90_000_000).alias("emp_id")
 
 
 def holiday_table(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -128,11 +152,12 @@ class DerivedTables:
 
     @cached_property
     def attend(self) -> DataFrame:
-        return attend_table(self._read("events"))
+        return attend_table(self._read("events")).unionByName(outsider_punches(self._read("supplier")))
 
     @cached_property
     def leave(self) -> DataFrame:
-        return leave_table(self._read("events"), self._read("orders"))
+        leave = leave_table(self._read("events"), self._read("orders"))
+        return leave.unionByName(outsider_leave(self._read("supplier")))
 
     @cached_property
     def holidays(self) -> DataFrame:

@@ -9,6 +9,7 @@ from musterbook.model import EMP_SCHEMA
 from musterbook.plans.summary import monthly_summary
 from musterbook.session import shared_folder
 from musterbook.sources import store
+from musterbook.sources.derived import DerivedTables
 
 
 def test_csv_round_trip(spark, make_tables, tmp_path):
@@ -52,3 +53,16 @@ def test_jdbc_range_is_whole_or_absent():
     for part in (("log_date", None, None), ("log_date", first, None), (None, first, until)):
         with pytest.raises(ValueError):
             store.jdbc_slices(*part, 4)
+
+
+def test_derived_tables_take_whole_sources(spark):
+    folder = "/root/testdata/sf0.001"
+    customer, orders, events, supplier = (
+        spark.read.parquet(f"{folder}/{name}.parquet") for name in ("customer", "orders", "events", "supplier")
+    )
+    t = DerivedTables(spark, folder)
+    days = orders.selectExpr("o_custkey", "date(o_orderdate)").distinct().count()
+    signups = events.where("event_type = 'signup'").selectExpr("user_id", "date(ts)").distinct().count()
+    assert t.emp.count() == customer.count()
+    assert t.leave.count() == days + signups + supplier.count()
+    assert t.attend.join(t.emp, "emp_id", "left_anti").count() >= supplier.count()
