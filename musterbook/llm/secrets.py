@@ -1,10 +1,12 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests.
 
-Three patterns give the base spans. Beside them every long token with a digit is a candidate. Its
-encoding is inferred from its characters (hex, base32, base64) and three tests compare it with
-uniform random symbols of that encoding: chi-squared of the symbol counts, runs above and
-below the middle of the alphabet, and the lag-one serial correlation. The three scores are
-combined into one p-value of "random"; ordinary text has p near 0, random tokens a uniform p.
+Three patterns give the base spans. Beside them every long token is a candidate, also one that
+follows or precedes an "=". Its encoding is inferred from its characters (hex, letters of one or of both
+cases, base32, base64) and three tests compare it with uniform random symbols of that encoding:
+chi-squared of the symbol counts, runs above and below the middle of the alphabet, and the
+lag-one serial correlation. Tokens of letters only take a fourth: whether they prefer the letters that
+words prefer. The scores are combined into one p-value of "random"; ordinary text has p near
+0, random tokens a uniform p.
 
 False discoveries are controlled per encoding and band of length, since short tokens test
 weakly: among the candidates of a band, twice the number with p > 1/2 estimates how many
@@ -32,12 +34,18 @@ HEX = r"([0-9a-f]{24,})"
 KINDS = ["assign", "access", "hex", "random"]
 LEAST_ASSIGNED = 6
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+LETTERS = ["lower", "upper", "letters"]
+# How often words have each letter, a to z, in hundredths of a percent.
+USUAL = [817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7]
 BANDS = [24, 32, 48, 64, 128]
 FDR = 0.05
 GRID = 20
@@ -82,16 +90,25 @@ def encoding_of(token: Column) -> Column:
     """Struct of the inferred encoding, its alphabet, and the token's symbols in that alphabet."""
     body = F.regexp_replace(token, "=+$", "")
     name = (
-        F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+        F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(body.rlike("^[a-z]+$"), "lower")
+        .when(body.rlike("^[A-Z]+$"), "upper")
+        .when(body.rlike("^[A-Za-z]+$"), "letters")
+        .when(body.rlike("^[A-Z2-7]+$"), "base32")
+        .otherwise("base64")
     )
+
+    def alphabet_of(encoding):
+        alphabet = F.lit(ALPHABETS["base64"])
+        for other in ("hex", *LETTERS, "base32"):
+            alphabet = F.when(encoding == other, F.lit(ALPHABETS[other])).otherwise(alphabet)
+        return alphabet
+
     return _let(
         F.struct(name.alias("encoding"), body.alias("body")),
         lambda e: F.struct(
             e["encoding"].alias("encoding"),
-            F.when(e["encoding"] == "hex", ALPHABETS["hex"])
-            .when(e["encoding"] == "base32", ALPHABETS["base32"])
-            .otherwise(ALPHABETS["base64"])
-            .alias("alphabet"),
+            alphabet_of(e["encoding"]).alias("alphabet"),
             F.when(e["encoding"] == "hex", F.lower(e["body"])).otherwise(F.translate(e["body"], "-_", "+/")).alias("body"),
         ),
     )
@@ -102,7 +119,7 @@ def _sum(values: Column) -> Column:
 
 
 def scores(encoded: Column) -> Column:
-    """Struct of the normal scores of the three tests for an ``encoding_of`` struct."""
+    """Struct of the normal scores of the tests for an ``encoding_of`` struct; ``words`` is NULL beside letters."""
     alphabet, body = encoded["alphabet"], encoded["body"]
     size, n = F.length(alphabet).cast("double"), F.length(body).cast("double")
     counts = F.transform(F.split(alphabet, ""), lambda c: n - F.length(F.replace(body, c, F.lit(""))))
@@ -127,9 +144,17 @@ def scores(encoded: Column) -> Column:
             (products / ((size * size - 1) / 12 * F.sqrt(n - 1))).alias("serial"),
         )
 
+    # Under uniform letters the sum of their logarithmic frequencies is nearly normal; words are far above.
+    logs = [math.log(u) for u in USUAL]
+    mean = sum(logs) / len(logs)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in logs) / len(logs))
+    usual = F.array(*[F.lit((x - mean) / deviation) for x in logs])
+    preferred = _sum(F.transform(F.split(F.lower(body), ""), lambda c: F.get(usual, F.ascii(c) - 97))) / F.sqrt(n)
+    words = F.when(encoded["encoding"].isin(LETTERS), preferred)
+
     return _let(
         _let(numbers, steps),
-        lambda z: F.struct(z_chi.alias("chi"), z["runs"].alias("runs"), z["serial"].alias("serial")),
+        lambda z: F.struct(z_chi.alias("chi"), z["runs"].alias("runs"), z["serial"].alias("serial"), words.alias("words")),
     )
 
 
@@ -137,12 +162,16 @@ def battery(token: Column) -> Column:
     """Struct of a token's encoding, band of length and ``cell``, its p-value of "random" in steps of 1 / GRID."""
 
     def combined(z):
-        # Only too uneven counts speak against randomness; runs and serial correlation do so either way.
-        tail = _normal_tail(z["chi"]) / 2
-        chi = F.when(z["chi"] > 0, tail).otherwise(1 - tail)
-        least = F.least(chi, _normal_tail(z["runs"]), _normal_tail(z["serial"]))
-        # The distribution function of the least of three uniform values.
-        return 1 - F.pow(1 - least, F.lit(3.0))
+        # Only too uneven counts and usual letters speak against randomness; runs and serial correlation do so either way.
+        def above(score):
+            tail = _normal_tail(score) / 2
+            return F.when(score > 0, tail).otherwise(1 - tail)
+
+        # F.least leaves NULL out.
+        words = F.when(z["words"].isNotNull(), above(z["words"]))
+        least = F.least(above(z["chi"]), _normal_tail(z["runs"]), _normal_tail(z["serial"]), words)
+        # The distribution function of the least of so many uniform values.
+        return 1 - F.pow(1 - least, F.when(z["words"].isNull(), F.lit(3.0)).otherwise(F.lit(4.0)))
 
     def judged(e):
         length = F.length(e["body"])
