@@ -6,12 +6,18 @@ diagonals (place in the document minus place in the segment) that differ by at m
 Hits are therefore counted in overlapping bands of diagonals; a band that reaches the
 bound is verified by an alignment limited to the band.
 
+The shortest leak is a verbatim run of ``RUN`` bytes at any offset of the item: every place of an
+item is the start of an indexed q-gram, so such a run is as many hits in a row on one diagonal.
+Copies with edits are found where they hold such a run or a whole segment (``SEGMENT`` bytes from
+a multiple of ``STEP`` on) within ``RATE`` edits.
+
 Characters are bytes of UTF-8 here, with A-Z lower-cased and ASCII white space equal. The
 benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES``, each
 broadcast and held against all documents.
 
-Defined results: a NULL or empty text has no match; a NULL or short item (under ``LEAST``
-bytes) is not searched; equal items all match; repeated rows are judged alike; empty tables
+Defined results: a NULL or empty text has no match; an item under ``LEAST`` bytes is one segment
+with as many edits as the lemma allows; a NULL item, or one under ``Q`` bytes, which has no
+q-gram, is not searched; equal items all match; repeated rows are judged alike; empty tables
 give empty results.
 """
 
@@ -28,6 +34,7 @@ Q = 10
 RATE = 0.08
 SEGMENT = 96
 STEP = 48
+RUN = 64
 LEAST = 32
 BLOCK_BYTES = 4 << 20
 MAP_BITS = 24
@@ -56,17 +63,23 @@ class Segments:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         self.item, texts = [], []
-        for item, raw in items:
+        # The number of each segment's item in the block, and where it starts there.
+        self.number, self.start = [], []
+        for number, (item, raw) in enumerate(items):
             folded = _FOLD[np.frombuffer(raw, np.uint8)]
-            if len(folded) < LEAST:
+            if len(folded) < Q:
                 continue
             starts = [*range(0, max(len(folded) - SEGMENT, 0), STEP), max(len(folded) - SEGMENT, 0)]
             for start in starts:
                 self.item.append(item)
+                self.number.append(number)
+                self.start.append(start)
                 texts.append(folded[start : start + SEGMENT])
-        self.item = np.array(self.item, np.int64)
+        self.item, self.number, self.start = (np.array(x, np.int64) for x in (self.item, self.number, self.start))
         self.length = np.array([len(t) for t in texts], np.int64)
         self.budget = (rate * self.length).astype(np.int64)
+        short = self.length < LEAST
+        self.budget[short] = np.minimum(self.budget[short], (self.length[short] - Q) // Q)
         self.need = np.maximum(self.length - Q + 1 - Q * self.budget, 1)
         self.width = 2 * (int(self.budget.max(initial=0)) + 1)
         self.bytes = np.full((len(texts), SEGMENT), 254, np.uint8)
@@ -82,7 +95,7 @@ class Segments:
         self.bounds = np.append(first, len(h))
 
     def hits(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray):
-        """(text, segment, diagonal) of every shared q-gram."""
+        """(text, segment, diagonal, place in ``data``) of every shared q-gram."""
         h = gram_hashes(data)
         at = np.flatnonzero(known[(h >> _U(64 - MAP_BITS)).astype(np.int64)])
         if not len(at) or not len(self.hashes):
@@ -93,7 +106,8 @@ class Segments:
         at, row, text = at[real], row[real], text[real]
         n = self.bounds[row + 1] - self.bounds[row]
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[row], n)
-        return np.repeat(text, n), self.owner[entry], np.repeat(at, n) - self.place[entry]
+        at = np.repeat(at, n)
+        return np.repeat(text, n), self.owner[entry], at - self.place[entry], at
 
     def known_map(self) -> np.ndarray:
         known = np.zeros(1 << MAP_BITS, bool)
@@ -101,11 +115,11 @@ class Segments:
         return known
 
     def regions(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray):
-        """(text, segment, start, end, edits) of the verified regions; offsets into ``data``."""
+        """(text, segment, start, end, edits) of the verified regions and verbatim runs; offsets into ``data``."""
         found = self.hits(data, offsets, known)
-        if found is None:
+        if found is None or not len(found[0]):
             return None
-        text, segment, diagonal = found
+        text, segment, diagonal, at = found
         out = []
         shift = 1 << 20
         for half in (0, self.width // 2):
@@ -114,7 +128,24 @@ class Segments:
             keys = keys[counts >= self.need[keys[:, 0]]]
             out.append(np.column_stack([keys[:, 2], keys[:, 0], keys[:, 1] * self.width - shift - half]))
         bands = np.concatenate(out)
-        return self.align(data, offsets, *bands.T) if len(bands) else None
+        parts = [self.align(data, offsets, *bands.T)] if len(bands) else []
+        parts.append(self.runs(text, segment, diagonal, at))
+        return tuple(np.concatenate(columns) for columns in zip(*parts))
+
+    def runs(self, text, segment, diagonal, at):
+        """Verbatim runs of at least ``RUN`` bytes: q-gram hits of one item in a row on a diagonal of the item."""
+        order = np.lexsort((at, diagonal - self.start[segment], self.number[segment], text))
+        text, segment, at = text[order], segment[order], at[order]
+        number, diagonal = self.number[segment], diagonal[order] - self.start[segment]
+        # Where segments overlap, a q-gram hits twice.
+        same = np.zeros(len(at), bool)
+        same[1:] = (text[1:] == text[:-1]) & (number[1:] == number[:-1]) & (diagonal[1:] == diagonal[:-1])
+        same[1:] &= at[1:] - at[:-1] <= 1
+        first = np.flatnonzero(~same)
+        last = np.append(first[1:], len(at)) - 1
+        start, end = at[first], at[last] + Q
+        first, start, end = (x[end - start >= RUN] for x in (first, start, end))
+        return text[first], segment[first], start, end, np.zeros(len(first), np.int64)
 
     def align(self, data, offsets, text, segment, low):
         """Least edits of each segment inside its band of diagonals ``low`` .. ``low + width - 1``."""
@@ -173,7 +204,7 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id"
 ) -> DataFrame:
     """Per document and item that it holds: ``doc_id``, ``item_id``, ``start_byte``, ``end_byte`` and the
-    least ``edits`` of a segment; start and end span all matched segments."""
+    least ``edits`` of a segment or run; start and end span all matched segments and runs."""
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, start_byte long, end_byte long, edits long"
     found = None

@@ -200,6 +200,23 @@ def test_leaks_within_the_budget(spark, make_docs):
     assert decontamination.leaks(make_docs([]), benchmark).collect() == []
 
 
+def test_leaks_of_runs_at_every_offset_and_short_items(spark, make_docs):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate((64, 100, 230, 301))] + [(10, text(10)), (11, text(19)), (12, text(31))]
+    size = decontamination.RUN
+    runs = [(k, t[at : at + size]) for k, t in items for at in range(len(t) - size + 1)]
+    runs += [(k, t) for k, t in items[4:]]
+    docs = [(i, text(30) + "XYZ" + run + "XYZ" + text(30)) for i, (_, run) in enumerate(runs)]
+    docs += [(len(runs), text(500)), (len(runs) + 1, items[3][1][100:120] + "XYZ" + items[3][1][120:140])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(make_docs(docs), benchmark).collect()}
+    assert set(got) == {(i, k) for i, (k, _) in enumerate(runs)}
+    assert all(r.start_byte <= 33 and r.end_byte >= 33 + len(runs[i][1]) and r.edits == 0 for (i, _), r in got.items())
+    kept = {r.doc_id for r in decontamination.without_leaks(make_docs(docs), benchmark).collect()}
+    assert kept == {len(runs), len(runs) + 1}
+
+
 def test_benchmark_blocks(spark):
     items = spark.createDataFrame([(k, "x" * 100) for k in range(10)], "item_id long, text string")
     blocks = list(decontamination.benchmark_blocks(items, size=250))
