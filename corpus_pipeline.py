@@ -3,7 +3,7 @@
 Every stage but the last returns the columns of ``documents``: quality rules drop documents,
 the similarity join keeps one of each group, decontamination drops documents with a benchmark
 passage, the secret scan redacts texts (``n_chars`` follows), and mixing returns the
-documents of the mix with the words that it takes of each.
+documents of the mix with the words that it takes of each, by shard and slot (``parts``).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).where("taken > 0")
+    return mixing.mix_sources(docs, with_parts=True).where("taken > 0")
 
 
 STAGES = [

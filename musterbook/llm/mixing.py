@@ -5,10 +5,12 @@ cut into blocks of ``BLOCK`` words. Every output shard draws how many blocks it
 each source; over all shards the counts of a source are one multinomial draw whose total
 is the number of blocks nearest to the source's target. A shard's share of a source is
 a range of slots; a slot is mapped to a block by a pseudorandom permutation of the source's
-block numbers (a new one each time all blocks have been used), and documents meet
-the drawn blocks by block number.
+block numbers (a new one each time all blocks have been used). Documents are cut into pieces at the
+block borders, the pieces of a block are put together, and blocks meet the draws by block
+number: ``mixed_blocks`` has the words of every shard and slot, and what is taken of a
+document is counted on the words of these rows.
 
-Nothing is collected and no source is one group: offsets within a source are sums over
+Nothing goes to the driver and no source is one group: offsets within a source are sums over
 1024 hashed groups first and running sums inside a group then. Only the per-source table
 (one row per source) passes through a single task.
 
@@ -140,50 +142,114 @@ def drawn_blocks(counts: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE,
-    block: int = BLOCK,
-    seed: int = SEED,
-) -> DataFrame:
-    """Per document: ``doc_id``, ``size``, ``source_size``, ``target`` and the words ``taken``."""
+def _source(source_key: Column) -> Column:
+    return F.when(source_key != "-", F.substring(source_key, 2, 2**31 - 1))
+
+
+def _dealt(
+    docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, block: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The blocks with their pieces, a row for every slot that takes them (or one without a slot); and the table of sources.
+
+    A piece has its document's start in the source, ``doc_id``, ``size`` and number (for size 0), its
+    place in the block's order and its ``words``, joined by spaces.
+    """
+    texts = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _source_key(F.col(source).cast("string")).alias("source_key")
+    )
     sizes = document_sizes(docs, doc_id, text, source)
     totals = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("source_key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
+    inside = Window.partitionBy("source_key", "bucket").orderBy(
+        F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", F.xxhash64("text")
+    )
+    counted = texts.withColumn("size", F.size(word_list(F.col("text"))).cast("long")).withColumn(
+        "bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(GROUPS))
+    )
     placed = (
-        sizes.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+        counted.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+        .withColumn("number", F.when(F.col("size") == 0, F.row_number().over(inside)))
         .join(bases, ["source_key", "bucket"])
         .withColumn("start", F.col("base") + F.col("before"))
-        .withColumn("number", F.when(F.col("size") == 0, F.row_number().over(inside)))
     )
-    sources = targets(sizes, weights, share, block=block)
-    times = drawn_blocks(shard_counts(sources, seed=seed), seed).groupBy("source_key", "block").agg(F.count("*").alias("times"))
-    parts = placed.select(
+
+    def cut(words):
+        def piece(b):
+            first = F.greatest(F.col("start"), b * block) - F.col("start")
+            last = F.least(F.col("start") + F.col("size"), (b + 1) * block) - F.col("start")
+            part = F.slice(words, (first + 1).cast("int"), (last - first).cast("int"))
+            return F.struct(b.alias("block"), F.array_join(part, " ").alias("words"))
+
+        return F.transform(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"), piece)
+
+    # Documents of size 0 have no place in a block: each is a block of its own below 0.
+    alone = F.struct((-1 - F.col("number") * GROUPS - F.col("bucket")).cast("long").alias("block"), F.lit("").alias("words"))
+    pieces = placed.select(
         "source_key",
+        "start",
         "doc_id",
         "size",
-        "start",
         "number",
-        F.explode(
-            F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).otherwise(
-                F.array(F.lit(-1).cast("long"))
-            )
-        ).alias("block"),
+        F.explode(F.when(F.col("size") > 0, F.get(F.transform(F.array(word_list(F.col("text"))), cut), 0)).otherwise(F.array(alone))).alias("part"),
+    ).select("source_key", "start", "doc_id", "size", "number", "part.block", "part.words")
+    blocks = (
+        pieces.repartition("source_key", "block")
+        .groupBy("source_key", "block")
+        # A block has at most as many pieces as words.
+        .agg(F.collect_list(F.struct("start", "doc_id", "size", "number", "words")).alias("pieces"))
     )
-    shared = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    sources = targets(sizes, weights, share, block=block)
+    drawn = drawn_blocks(shard_counts(sources, seed=seed), seed).select("source_key", "block", "shard", "slot")
     # Drawn blocks grow with the words: never broadcast.
-    met = parts.join(times.hint("merge"), ["source_key", "block"], "left").withColumn(
-        "words", F.when(F.col("size") > 0, shared * F.coalesce("times", F.lit(0))).otherwise(0)
+    return blocks.join(drawn.hint("merge"), ["source_key", "block"], "left"), sources
+
+
+def mixed_blocks(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    block: int = BLOCK,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix: ``shard``, ``source``, ``slot`` (numbered per source), ``block`` and its ``words`` in order, joined by spaces."""
+    dealt, _ = _dealt(docs, doc_id, text, source, weights, share, block, seed)
+    words = F.array_join(F.transform(F.array_sort(F.transform("pieces", lambda p: F.struct(p["start"], p["words"]))), lambda p: p["words"]), " ")
+    return dealt.where("slot is not null").select("shard", _source(F.col("source_key")).alias("source"), "slot", "block", words.alias("words"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    block: int = BLOCK,
+    seed: int = SEED,
+    with_parts: bool = False,
+) -> DataFrame:
+    """Per document: ``doc_id``, ``size``, ``source_size``, ``target`` and the words ``taken``, counted on the mixed pieces.
+
+    ``with_parts`` adds ``source`` and ``parts``: the shard, slot and words of every piece that the mix takes.
+    """
+    dealt, sources = _dealt(docs, doc_id, text, source, weights, share, block, seed)
+    pieces = dealt.select("source_key", "block", "shard", "slot", F.explode("pieces").alias("p")).select(
+        "source_key", "block", "shard", "slot", "p.*"
     )
-    # Documents of size 0 all stand before a block's first word; their number keeps them apart.
-    taken = met.groupBy("source_key", "start", "doc_id", "size", "number").agg(F.sum("words").alias("taken"))
-    return (
-        taken.join(sources.select("source_key", "source_size", "target"), "source_key")
-        .select("doc_id", "size", "source_size", "target", "taken")
+    n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    taken = [F.sum(F.when(F.col("slot").isNotNull(), n_words).otherwise(0)).cast("long").alias("taken")]
+    added = []
+    if with_parts:
+        part = F.when(F.col("slot").isNotNull() & (F.col("size") > 0), F.struct("slot", "block", "shard", "words"))
+        taken.append(F.sort_array(F.collect_list(part)).alias("parts"))
+        added = [_source(F.col("source_key")).alias("source"), "parts"]
+    # Documents of size 0 all stand before a block's first word; their number and block keep them apart.
+    alone = F.when(F.col("size") == 0, F.col("block")).alias("alone")
+    per_doc = pieces.groupBy("source_key", "start", "doc_id", "size", "number", alone).agg(*taken)
+    return per_doc.join(sources.select("source_key", "source_size", "target"), "source_key").select(
+        "doc_id", "size", "source_size", "target", "taken", *added
     )

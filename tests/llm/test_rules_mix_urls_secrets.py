@@ -115,6 +115,35 @@ def test_mixing(make_docs, real_docs):
     assert sorted(r["size"] for r in mixing.mix_sources(make_docs(again)).collect()) == [0, 0, 1, 2, 2, 2]
 
 
+def test_mixed_blocks_hold_the_words(make_docs):
+    rng = random.Random(12)
+    sizes = [0, 1, 5, 127, 128, 129, 400, 1000]
+    docs = [(i, "\t ".join(f"d{i}w{k}" for k in range(rng.choice(sizes))), None, rng.choice(["a", "b", None])) for i in range(60)]
+    docs += [(7, "again and again", None, "a"), (7, "again and again", None, "a"), (None, "no id", None, "b"), (90, None, None, "a")]
+    words = {s: sum(len(WORD.findall(d[1] or "")) for d in docs if d[3] == s) for s in ("a", "b", None)}
+    blocks = mixing.mixed_blocks(make_docs(docs)).collect()
+    assert len({(r.source, r.slot) for r in blocks}) == len(blocks)
+    goal, taken, by_block = filled(words), collections.Counter(), {}
+    for r in blocks:
+        n = len(r.words.split(" "))
+        last = (words[r.source] - 1) // mixing.BLOCK
+        assert n == (mixing.BLOCK if r.block < last else words[r.source] - last * mixing.BLOCK)
+        taken[r.source] += n
+        assert by_block.setdefault((r.source, r.block), r.words) == r.words
+    assert all(abs(taken[s] - goal[s]) <= 2 * mixing.BLOCK for s in words)
+    # A document is one run of words of its source's stream.
+    for s in ("a", "b", None):
+        n_blocks = -(-words[s] // mixing.BLOCK)
+        if all((s, b) in by_block for b in range(n_blocks)):
+            stream = " ".join(by_block[s, b] for b in range(n_blocks)) + " "
+            assert all(" ".join(WORD.findall(d[1] or "")) + " " in " " + stream for d in docs if d[3] == s)
+    of_blocks = collections.Counter(w for r in blocks for w in r.words.split(" "))
+    rows = mixing.mix_sources(make_docs(docs), with_parts=True).collect()
+    of_parts = collections.Counter(w for r in rows for p in r.parts for w in p.words.split(" "))
+    assert of_parts == of_blocks and sum(of_blocks.values()) == sum(r.taken for r in rows)
+    assert all(r.taken == sum(len(p.words.split(" ")) for p in r.parts) for r in rows)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("x"))
