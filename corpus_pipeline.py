@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each over all that the one before it kept.
 
 Every stage but the last returns the columns of ``documents``: quality rules drop documents,
-the similarity join keeps one of each group, decontamination drops documents with a benchmark
+the similarity join keeps one row of each group, decontamination drops documents with a benchmark
 passage, the secret scan redacts texts (``n_chars`` follows), and mixing returns the
 documents of the mix with the words that it takes of each, by shard and slot (``parts``).
 """
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.one_per_component(docs)
+    return ngram_jaccard.one_row_per_component(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

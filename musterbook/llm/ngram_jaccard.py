@@ -492,3 +492,25 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     repeated = Window.partitionBy(doc_id).orderBy(text)
     again = chosen.where(F.col(count) > 1).withColumn(rank, F.row_number().over(repeated)).where(F.col(rank) == 1)
     return chosen.where(F.col(count) == 1).select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
+def one_row_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of similar texts: the one of least id, NULL last.
+
+    Every row is a node of its own, so rows that repeat an id, or have none, meet only where their texts are
+    similar; a text without words is similar to nothing and kept. Rows of one id in a group are chosen
+    by a hash of their text. The row numbers are written once with the rows, in the shared folder.
+    """
+    row, group, best = fresh(docs, "row_number"), fresh(docs, "row_group"), fresh(docs, "row_chosen")
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = similar_components(rows, row, text).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    order = F.struct(
+        F.col(doc_id).isNull().alias("none"),
+        F.col(doc_id).alias("id"),
+        F.xxhash64(text).alias("text"),
+        F.col(row).alias("row"),
+    )
+    chosen = (
+        rows.select(row, order.alias(best)).join(found, row).groupBy(group).agg(F.min(best).alias(best)).select(F.col(f"{best}.row").alias(row))
+    )
+    return rows.join(chosen, row, "left_semi").select(*docs.columns)

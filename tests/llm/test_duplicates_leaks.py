@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 from conftest_llm import FOLDER, LONG, ODD
 from musterbook.llm import decontamination, ngram_jaccard, suffix_dedup
@@ -130,6 +131,20 @@ def test_one_per_component(make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_kept(spark, make_docs):
+    texts = [" ".join(f"t{k}w{n}" for n in range(30)) for k in range(6)]
+    docs = [(4, None), (4, texts[0]), (4, texts[1]), (4, texts[1] + " more"), (None, texts[2]), (None, texts[3]), (None, "")]
+    docs += [(9, texts[2]), (8, texts[2] + " more"), (None, texts[4]), (None, texts[4]), (5, texts[5]), (5, texts[5])]
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(docs), FOLDER)
+    assert kept.columns == make_docs(docs).columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    for t in (texts[1], texts[1] + " more"):
+        if got.pop((4, t), 0):
+            got["either"] += 1
+    want = [(4, None), (4, texts[0]), "either", (8, texts[2] + " more"), (None, texts[3]), (None, ""), (None, texts[4]), (5, texts[5])]
+    assert got == collections.Counter(want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
