@@ -6,7 +6,7 @@ import random
 import pytest
 
 import brute
-from conftest import day, person, punch
+from factories import day, person, punch
 from musterbook.model import CODES, NO_EXIT_TEXT, month_start
 from musterbook.operators.counts import status_pivot
 from musterbook.plans.calendar import employee_calendar

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import day, person, punch
+from factories import day, person, punch
 from musterbook.model import MASTER_COLUMNS
 from musterbook.operators import counts, days, fill, filters, joins, lookups, records
 from musterbook.plans import summary

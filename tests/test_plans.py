@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import day, person, punch
+from factories import day, person, punch
 from musterbook.model import CODES
 from musterbook.operators.counts import status_pivot
 from musterbook.plans.calendar import employee_calendar

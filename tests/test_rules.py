@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, person, punch
+from factories import day, person, punch
 from musterbook.functions import clock, status, text
 from musterbook.model import NO_EXIT_TEXT, Cutoffs
 from musterbook.operators.records import day_collapse, unified_records

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from conftest import day, person, punch
+from factories import day, person, punch
 from musterbook.model import EMP_SCHEMA
 from musterbook.plans.summary import monthly_summary
 from musterbook.session import shared_folder
