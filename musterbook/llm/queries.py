@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterbook.llm import chat_format, decontamination, language_id, mixing, ngram_jaccard
-from musterbook.llm import quality_classifier, quality_rules, secrets, suffix_dedup, url_filter
+from musterbook.llm import quality_classifier, quality_rules, secrets, source_divergence, suffix_dedup, url_filter
 from musterbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,50 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLE["op13_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+    FROM documents
+), words AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+), vocabulary AS (
+    SELECT lang, term, count(*)::HUGEINT AS c FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), languages AS (
+    SELECT lang, sum(c) AS n, count(*) AS v FROM vocabulary GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counted AS (
+    SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM words w JOIN vocabulary USING (lang, term) GROUP BY ALL
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(k.n), 0) AS n FROM groups g LEFT JOIN counted k USING (lang, source) GROUP BY ALL
+), shares AS (
+    SELECT t.lang, t.source, y.term, coalesce(k.n, 0) AS n,
+           1 + 1000000000 * (coalesce(k.n, 0) + 1) // (t.n + l.v) AS p,
+           1 + 1000000000 * (y.c + 1) // (l.n + l.v) AS q
+    FROM totals t JOIN languages l USING (lang) JOIN vocabulary y USING (lang)
+    LEFT JOIN counted k ON k.lang = t.lang AND k.source = t.source AND k.term = y.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), valued AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM valued)
+WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE["op9_url_filter"] = """
 WITH parts AS (
     SELECT page_id,
