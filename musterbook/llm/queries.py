@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterbook.llm import chat_format, decontamination, language_id, mixing, ngram_jaccard
+from musterbook.llm import chat_format, decontamination, language_id, mixing, ngram_jaccard, packing
 from musterbook.llm import quality_classifier, quality_rules, secrets, source_divergence, suffix_dedup, url_filter
 from musterbook.llm.common import table
 
@@ -97,6 +97,12 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_pack_windows(spark, sf_dir):
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op13_source_divergence(spark, sf_dir):
     return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
