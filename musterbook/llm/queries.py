@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterbook.llm import chat_format, decontamination, language_id, mixing, ngram_jaccard, packing
+from musterbook.llm import chat_format, decontamination, hard_negatives, language_id, mixing, ngram_jaccard, packing
 from musterbook.llm import quality_classifier, quality_rules, secrets, source_divergence, suffix_dedup, url_filter
 from musterbook.llm.common import table
 
@@ -97,6 +97,11 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_pack_windows(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -108,6 +113,27 @@ def op13_source_divergence(spark, sf_dir):
     return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+ORACLE["op11_hard_negatives"] = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.r <> b.r
+), positives AS (
+    SELECT r, anchor_id, vec_id AS positive_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
+    FROM scores WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
 ORACLE["op13_source_divergence"] = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
