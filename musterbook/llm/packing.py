@@ -1,8 +1,7 @@
 """Pack token sequences into windows by non-negative least squares over a histogram of lengths.
 
 * Every text is encoded once, in Arrow batches, and written with its ids (little-endian
-  32-bit) to the shared folder. Only distinct stretches of a batch go through the encoder: a text may be
-  cut before white space that follows other text without changing its ids.
+  32-bit) to the shared folder; every later step takes bytes out of that column.
 * A document's whole windows are sequences of their own; what is left of each document,
   shorter than a window, is counted by length: a histogram of at most ``window`` numbers,
   whatever the size of the corpus.
@@ -23,6 +22,7 @@ holds the ids of about 4 MB of text, or of one longer text, at a time.
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from musterbook.llm.common import pieces, store, text_buffer
+from musterbook.llm.common import pieces, store
 
 WINDOW = 2048
 CLOSING = 1
 # Combinations of three lengths that are tried for each length.
 TRIPLES = 12
 STEPS = 400
+# Fixed value: how byte-level encodings of this kind split a text into words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_bpe_path() -> str:
@@ -50,45 +52,57 @@ def byte_bpe_path() -> str:
 # Encoding
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the stretches to encode: every text, and white space behind a visible ASCII character.
+def byte_of_letter() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    No token of a byte-level pair encoding with word splitting reaches over such a place, and
-    the split of what precedes it depends only on whether visible text or the end follows.
+
+def merge_ranks(told: dict) -> dict[bytes, int] | None:
+    """Rank of every token of a tokenizer file, if it is a plain byte-level one whose ids follow its merges; else None."""
+    model, split = told["model"], told["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    rare = [model.get(k) for k in ("unk_token", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+    if told["normalizer"] or not plain or model["type"] != "BPE" or any(rare):
+        return None
+    letters, vocabulary = byte_of_letter(), model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocabulary.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    added = {t["content"] for t in told["added_tokens"]}
+    return {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if token not in added}
+
+
+class Encoder:
+    """Ids as the tokenizer file gives them, without special tokens around the text.
+
+    Where the file is a plain byte-level encoding, its vocabulary goes through the faster of the two public
+    encoders; texts that hold an added token, or white space too long for that one, and all texts of other
+    files go through ``tokenizers``.
     """
-    visible = (data > 0x20) & (data < 0x7F)
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    inner = np.flatnonzero(space[1:] & visible[:-1]) + 1
-    return np.unique(np.concatenate([inner, offsets[:-1][np.diff(offsets) > 0]]))
-
-
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of all elements of the given ranges, in order."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-
-
-def encode_texts(tokenizer, texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts back to back, each with its closing id, and the number of ids of each text."""
-    data, offsets = text_buffer(texts)
-    start = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
-    bounds = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
-    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))])
-    coded = raw.dictionary_encode()
-    stretches = [x.decode() for x in coded.dictionary.to_pylist()]
-    known = [e.ids for e in tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter((i for ids in known for i in ids), np.uint32, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    code = coded.indices.to_numpy()
-    document = np.searchsorted(offsets, start, "right") - 1
-    lengths = np.bincount(document, sizes[code], len(offsets) - 1).astype(np.int64) + 1
-    out = np.full(int(lengths.sum()), closing, np.uint32)
-    ends = np.zeros(len(out), bool)
-    ends[np.cumsum(lengths) - 1] = True
-    out[~ends] = flat[ragged(first[code], sizes[code])]
-    return out, lengths
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.fast = None
+        if ranks := merge_ranks(told):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast and not any(a in text for a in self.added):
+            try:
+                return self.fast.encode_to_numpy(text)
+            except ValueError:  # white space beyond the reach of its pattern
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(path: str, closing: int, window: int):
@@ -96,15 +110,14 @@ def encoder(path: str, closing: int, window: int):
     ``rest``, ``whole`` counts the full windows before the row."""
 
     def encode(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        ids_of = Encoder(path)
+        end = np.array([closing], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen, windows = np.zeros(window, np.int64), 0
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 22):
-                ids, n = encode_texts(tokenizer, piece.column("text"), closing)
+                ids = [ids_of(t.as_py() or "").astype("<u4").tobytes() + end for t in piece.column("text")]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 rest, full = n % window, n // window
                 order = np.argsort(rest, kind="stable")
                 ordered = rest[order]
@@ -113,11 +126,8 @@ def encoder(path: str, closing: int, window: int):
                 seen += np.bincount(rest, minlength=window)
                 whole = windows + np.cumsum(full) - full
                 windows += int(full.sum())
-                ends = np.append(0, np.cumsum(n)) * 4
-                raw = ids.astype("<u4").tobytes()
-                blobs = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), blobs, *map(pa.array, (n, rest, np.full(len(n), part, np.int64), place, whole))],
+                    [piece.column("doc_id"), pa.array(ids, pa.binary()), *map(pa.array, (n, rest, np.full(len(n), part, np.int64), place, whole))],
                     names=["doc_id", "ids", "n", "rest", "part", "place", "whole"],
                 )
 

@@ -4,7 +4,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,20 +20,28 @@ def ids_of(text):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-def by_stretches(texts):
-    flat, n = packing.encode_texts(TOKENIZER, pa.array(texts, pa.string()), 1)
-    return [part.tolist() for part in np.split(flat, np.cumsum(n)[:-1])]
+ENCODER = packing.Encoder(packing.byte_bpe_path())
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'st1. \n\t\r\x0b\x0c\x1c\x85  é中😀_-"), max_size=14), min_size=1, max_size=4))
-def test_stretches_give_the_same_ids(texts):
-    assert by_stretches(texts) == [ids_of(t) for t in texts]
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("ab'st1. \n\t\r\x0b\x0c\x1c\x85\u00a0\u2003é中😀_-"), max_size=24))
+def test_ids_are_those_of_the_tokenizer(text):
+    assert ENCODER(text).tolist() == ids_of(text)[:-1]
 
 
-def test_stretches_of_odd_texts():
-    texts = [None, "", "  ", "a" * 5000, "." * 3000 + " x", " " * 3000 + "x", "<|endoftext|> a<|endoftext|>", "don't  we'll\n\n\nx", LONG]
-    assert by_stretches(texts) == [ids_of(t) for t in texts]
+def test_ids_of_odd_texts():
+    assert ENCODER.fast is not None
+    runs = [" " * 2_000_000 + "x", "a" * 50_000, "." * 300_000 + " x", "\n" * 1_500_000]
+    for text in ["", "  ", "<|endoftext|> a<|endoftext|>", "<|endoftext", "don't  we'll\n\n\nx", LONG, *runs]:
+        assert ENCODER(text).tolist() == ids_of(text)[:-1]
+
+
+def test_other_files_go_through_the_tokenizer():
+    path = packing.byte_bpe_path().replace("byte_bpe_50k", "word_bpe_49k")
+    encoder = packing.Encoder(path)
+    assert encoder.fast is None
+    own = Tokenizer.from_file(path).encode("Some words, 12", add_special_tokens=False).ids
+    assert encoder("Some words, 12").tolist() == own
 
 
 def test_solver_against_enumeration():
