@@ -304,10 +304,8 @@ marked AS (
 NAMED_DAYS = f"""
 named AS (
   SELECT emp_id, date, {NAMES} FROM leaves LEFT JOIN emp USING (emp_id)
-  WHERE date >= DATE '2024-01-01' AND date < DATE '2024-02-01'
   UNION ALL
-  SELECT emp_id, log_date, NULL, NULL, NULL FROM attend
-  WHERE log_date >= DATE '2024-01-01' AND log_date < DATE '2024-02-01')"""
+  SELECT emp_id, log_date, NULL, NULL, NULL FROM attend)"""
 
 
 def filled(column: str, upwards: bool) -> str:
@@ -379,8 +377,8 @@ ORACLE: dict[str, str] = {
     "no_record_calendar": with_base(
         CALENDAR, "SELECT emp_id, date, attendance FROM calendar WHERE emp_id NOT IN (SELECT emp_id FROM rec)"),
     # Aggregations
-    "day_collapse": with_base([records(), COLLAPSE], "SELECT * FROM flat"),
-    "day_collapse_distinct": with_base([records(), COLLAPSE_DISTINCT], "SELECT * FROM flat"),
+    "day_collapse": with_base([records(first=None), COLLAPSE], "SELECT * FROM flat"),
+    "day_collapse_distinct": with_base([records(first=None), COLLAPSE_DISTINCT], "SELECT * FROM flat"),
     "employee_window": with_base([records(), window_cte("2024-01-20")], "SELECT * FROM win"),
     "summary_days": with_base(EACH, f"SELECT emp_id, {NAMES}, date, attendance FROM days"),
     "status_counts": with_base(
@@ -444,12 +442,12 @@ framed AS (
         [], "SELECT max(log_date) AS last_date, CAST(date_diff('day', max(log_date), DATE '2024-01-31') AS INTEGER) "
         "AS days_stale, date_diff('day', max(log_date), DATE '2024-01-31') > 0 AS refresh_offered FROM attend"),
     "punch_parse": with_base(
-        [records(), COLLAPSE],
+        [records(first=None), COLLAPSE],
         f"SELECT emp_id, date, {stamp('in_time')} AS in_ts, {stamp('out_time')} AS out_ts FROM flat"),
     "clock_format": with_base(
         [], f"SELECT emp_id, in_time, strftime({stamp('in_time')}, '%I:%M %p') AS in_clock FROM attend"),
     "blank_to_null": with_base(
-        [records(), COLLAPSE], "SELECT emp_id, date, CASE WHEN out_location <> '' THEN out_location END AS place FROM flat"),
+        [records(first=None), COLLAPSE], "SELECT emp_id, date, CASE WHEN out_location <> '' THEN out_location END AS place FROM flat"),
     "flatten_comma": with_base(
         [], "SELECT emp_id, in_time, concat_ws(', ', in_location, out_location) AS places FROM attend"),
     "emp_id_pad": "SELECT c_custkey, repeat('0', greatest(8 - length(CAST(c_custkey AS VARCHAR)), 0)) || c_custkey "
@@ -461,14 +459,14 @@ framed AS (
     "CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem",
     "leave_type_label": with_base([], f"SELECT *, {LABEL} AS label FROM leaves"),
     # Classification
-    "entry_status": with_base([records(), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, entry FROM timed"),
-    "exit_status": with_base([records(), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, exit FROM timed"),
-    "time_status": with_base([records(), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, time FROM timed"),
+    "entry_status": with_base([records(first=None), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, entry FROM timed"),
+    "exit_status": with_base([records(first=None), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, exit FROM timed"),
+    "time_status": with_base([records(first=None), COLLAPSE_DISTINCT, TIMED], "SELECT emp_id, date, time FROM timed"),
     "day_attendance": with_base(
         OPEN_SPINE, "SELECT emp_id, date, CASE WHEN attendance = 'EL' THEN 'EL' WHEN holiday = 'H' THEN 'H' "
         "WHEN attendance IS NULL THEN 'A' ELSE attendance END AS attendance FROM marked"),
     "late_override": with_base(
-        [records(), COLLAPSE_DISTINCT, TIMED],
+        [records(first=None), COLLAPSE_DISTINCT, TIMED],
         "SELECT emp_id, date, CASE WHEN attendance = 'P' AND entry = 'Late entry' THEN 'Late' ELSE attendance END "
         "AS attendance FROM timed"),
     "cell_class": with_base(

@@ -39,6 +39,10 @@ def on_files(build: Query) -> Query:
     return build
 
 
+def all_records(t: Tables) -> DataFrame:
+    return records.unified_records(t.leave, t.attend)
+
+
 def month_records(t: Tables, leave_first: bool = True) -> DataFrame:
     return records.unified_records(
         filters.month_filter(t.leave, "date", MONTH),
@@ -134,7 +138,7 @@ def eligible_employees(t):
 
 @on_tables
 def leave_day_filter(t):
-    return filters.leave_day_filter(records.unified_records(t.leave, t.attend))
+    return filters.leave_day_filter(all_records(t))
 
 
 # Joins
@@ -194,12 +198,12 @@ def no_record_calendar(t):
 
 @on_tables
 def day_collapse(t):
-    return records.day_collapse(month_records(t))
+    return records.day_collapse(all_records(t))
 
 
 @on_tables
 def day_collapse_distinct(t):
-    return records.day_collapse(month_records(t), distinct=True)
+    return records.day_collapse(all_records(t), distinct=True)
 
 
 @on_tables
@@ -231,18 +235,18 @@ def day_totals(t):
     return counts.day_totals(classified_days(t))
 
 
-def month_calendar(t):
-    return calendar.employee_calendar(t, MONTH, CLOSED)
+def month_calendar(t, places=True):
+    return calendar.employee_calendar(t, MONTH, CLOSED, places=places)
 
 
 @on_tables
 def time_status_footer(t):
-    return counts.time_status_footer(month_calendar(t))
+    return counts.time_status_footer(month_calendar(t, places=False))
 
 
 @on_tables
 def time_status_text(t):
-    return counts.time_status_text(month_calendar(t))
+    return counts.time_status_text(month_calendar(t, places=False))
 
 
 @on_tables
@@ -272,7 +276,7 @@ def duplicate_punch_days(t):
 
 @on_tables
 def distinct_rows(t):
-    return records.distinct_rows(records.unified_records(t.leave, t.attend).drop("precedence"))
+    return records.distinct_rows(all_records(t).drop("precedence"))
 
 
 # Windows
@@ -280,10 +284,8 @@ def distinct_rows(t):
 
 def first_named_days(t):
     """Days of recorded employees, named only where a leave record brought the master row."""
-    named = joins.emp_join(filters.month_filter(t.leave, "date", MONTH), t.emp, "left")
-    plain = filters.month_filter(t.attend, "log_date", MONTH).select(
-        "emp_id", F.col("log_date").alias("date")
-    )
+    named = joins.emp_join(t.leave, t.emp, "left")
+    plain = t.attend.select("emp_id", F.col("log_date").alias("date"))
     return named.select("emp_id", "date", *MASTER_COLUMNS).unionByName(plain, allowMissingColumns=True)
 
 
@@ -341,13 +343,8 @@ def days_stale(t):
 
 @on_tables
 def punch_parse(t):
-    flat = records.day_collapse(month_records(t))
-    return flat.select(
-        "emp_id",
-        "date",
-        clock.punch_parse(F.col("in_time")).alias("in_ts"),
-        clock.punch_parse(F.col("out_time")).alias("out_ts"),
-    )
+    days = records.first_punches(all_records(t))
+    return days.select("emp_id", "date", "in_ts", clock.punch_parse(F.col("out_text")).alias("out_ts"))
 
 
 @on_tables
@@ -359,7 +356,7 @@ def clock_format(t):
 
 @on_tables
 def blank_to_null(t):
-    flat = records.day_collapse(month_records(t))
+    flat = records.day_collapse(all_records(t))
     return flat.select("emp_id", "date", text.blank_to_null(F.col("out_location")).alias("place"))
 
 
@@ -401,7 +398,7 @@ def leave_type_label(t):
 
 
 def timed(t):
-    return calendar.timed_days(records.day_collapse(month_records(t), distinct=True), CUTS)
+    return calendar.timed_punches(records.first_punches(all_records(t), distinct=True), CUTS)
 
 
 @on_tables
@@ -426,13 +423,13 @@ def day_attendance(t):
 
 @on_tables
 def late_override(t):
-    return days.late_override(days.summary_day_rows(month_records(t), CUTS)).drop("entry")
+    return days.late_override(days.summary_day_rows(all_records(t), CUTS)).drop("entry")
 
 
 @on_tables
 def cell_class(t):
     cells = status.cell_class(F.col("attendance"), F.col("time")).alias("cell_class")
-    return month_calendar(t).select("emp_id", "date", cells)
+    return month_calendar(t, places=False).select("emp_id", "date", cells)
 
 
 @on_tables

@@ -13,7 +13,7 @@ from musterbook.functions.status import day_code, entry_status, late_code
 from musterbook.model import ACTIVE, MASTER_COLUMNS, Cutoffs, month_start, next_month, window_end
 from musterbook.operators.filters import active_employees, eligible_employees
 from musterbook.operators.lookups import distinct_holidays
-from musterbook.operators.records import first_code
+from musterbook.operators.records import reduced_days
 
 
 def holiday_dates(holidays: DataFrame) -> DataFrame:
@@ -59,11 +59,7 @@ def employee_day_spine(records: DataFrame, window: DataFrame) -> DataFrame:
         F.lit(True).alias("in_window"),
     )
     known = records.select("emp_id", "date", "attendance", "precedence", F.lit(False).alias("in_window"))
-    return (
-        known.unionByName(spine)
-        .groupBy("emp_id", "date")
-        .agg(first_code().alias("attendance"), F.bool_or("in_window").alias("in_window"))
-    )
+    return reduced_days(known.unionByName(spine), in_window=(F.bool_or, F.col("in_window")))
 
 
 def holidays_in_window(holidays: DataFrame, window: DataFrame) -> DataFrame:
@@ -174,9 +170,7 @@ def summary_day_rows(records: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     The first punch of a day is the earliest readable one, so two ``min``
     aggregates do; nothing is collected.
     """
-    days = records.groupBy("emp_id", "date").agg(
-        first_code().alias("attendance"), F.min(punch_parse(F.col("in_time"))).alias("first_in")
-    )
+    days = reduced_days(records, first_in=(F.min, punch_parse(F.col("in_time"))))
     entry = entry_status(F.col("first_in"), F.col("date"), cutoffs)
     return days.select("emp_id", "date", "attendance", entry.alias("entry"))
 
