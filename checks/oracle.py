@@ -320,6 +320,9 @@ def fill_sql(upwards: bool) -> str:
     return with_base([NAMED_DAYS], f"SELECT emp_id, date, {columns} FROM named")
 
 
+ONE = "emp_id = '00000007'"
+NAMED_CODES = with_base(
+    EACH, f"SELECT emp_id, attendance AS code, count(*) AS n FROM days WHERE NOT list_contains({CODE_LIST}, attendance) GROUP BY 1, 2")
 JAN = "date >= DATE '2024-01-01' AND date < DATE '2024-02-01'"
 DETAILS = "emp_name, designation, division, cat"
 
@@ -493,4 +496,18 @@ framed AS (
     "empty_summary_message": with_base(
         day_ctes("2024-02-01", chosen="division = 'NATION_3' AND cat = 'Visitor'"),
         "SELECT 'No Visitor in NATION_3 in Jan 2024' AS error WHERE NOT EXISTS (SELECT 1 FROM days)"),
+    # One employee, stored tables, unlisted codes by name
+    "employee_attend_details_one": with_base(
+        [], f"SELECT attend.*, {DETAILS} FROM attend LEFT JOIN emp USING (emp_id) WHERE {ONE} AND log_date "
+        "BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"),
+    "employee_leave_details_one": with_base(
+        [], f"SELECT leaves.*, {DETAILS} FROM leaves LEFT JOIN emp USING (emp_id) WHERE {ONE} AND date "
+        "BETWEEN DATE '1995-01-01' AND DATE '2024-01-31'"),
+    "employee_lookup_one": with_base([], f"SELECT emp_id, {NAMES} FROM emp WHERE {ONE}"),
+    "employee_calendar_one": with_base(CALENDAR, f"SELECT * FROM calendar WHERE {ONE}"),
+    "employee_calendar_one_stored": with_base(CALENDAR, f"SELECT * FROM calendar WHERE {ONE}"),
+    "last_log_date_stored": with_base([], "SELECT max(log_date) AS last_date FROM attend"),
+    "status_pivot_other_codes": NAMED_CODES,
+    "monthly_summary_other_codes": NAMED_CODES,
 }
+ORACLE["leave_tally_one"] = ORACLE["leave_tally"].replace("FROM leaves GROUP", f"FROM leaves WHERE {ONE} GROUP")

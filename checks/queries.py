@@ -22,6 +22,7 @@ CLOSED = dt.date(2024, 2, 1)
 OPEN = dt.date(2024, 1, 20)
 FIRST_IN_DATA = dt.date(1995, 1, 1)
 CUTS = Cutoffs()
+ONE = "00000007"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +80,21 @@ def employee_lookup(t):
     return lookups.employee_lookup(t.emp, columns=["emp_id", *MASTER_COLUMNS], active_only=True)
 
 
+@on_tables
+def employee_attend_details_one(t):
+    return joins.employee_attend_details(t.attend, t.emp, MONTH, NEXT, ONE)
+
+
+@on_tables
+def employee_leave_details_one(t):
+    return joins.employee_leave_details(t.leave, t.emp, FIRST_IN_DATA, NEXT, ONE)
+
+
+@on_tables
+def employee_lookup_one(t):
+    return lookups.employee_lookup(t.emp, ONE.lstrip("0"), ["emp_id", *MASTER_COLUMNS], short_id=True)
+
+
 @on_tables
 def distinct_divisions(t):
     return lookups.distinct_divisions(t.emp)
@@ -99,6 +115,19 @@ def last_log_date(t):
     return lookups.last_log_date(t.attend)
 
 
+def stored_tables(t: Tables) -> tuple[SparkSession, str]:
+    """The derived tables written as the library lays them out."""
+    spark = t.attend.sparkSession
+    folder = shared_folder(spark, "tables")
+    store.write_tables(t, folder)
+    return spark, folder
+
+
+@on_tables
+def last_log_date_stored(t):
+    return store.stored_last_log_date(*stored_tables(t))
+
+
 @on_files
 def json_record_fields(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
@@ -230,6 +259,15 @@ def status_pivot(t):
     return counts.status_pivot(classified_days(t))
 
 
+def named_codes(df: DataFrame) -> DataFrame:
+    return df.select("emp_id", F.explode("other_codes").alias("code", "n"))
+
+
+@on_tables
+def status_pivot_other_codes(t):
+    return named_codes(counts.status_pivot(classified_days(t), other_codes=True))
+
+
 @on_tables
 def day_totals(t):
     return counts.day_totals(classified_days(t))
@@ -259,6 +297,11 @@ def leave_tally(t):
     return counts.leave_tally(t.leave)
 
 
+@on_tables
+def leave_tally_one(t):
+    return counts.leave_tally(t.leave, ONE.lstrip("0"))
+
+
 @on_tables
 def calendar_grid(t):
     return counts.calendar_grid(month_calendar(t), MONTH)
@@ -446,6 +489,12 @@ def monthly_summary(t):
     return summary.monthly_summary(t, MONTH, CLOSED, division=None)
 
 
+@on_tables
+def monthly_summary_other_codes(t):
+    """Days of every unlisted code by name."""
+    return named_codes(summary.monthly_summary(t, MONTH, CLOSED, division=None, other_codes=True))
+
+
 @on_tables
 def monthly_summary_open(t):
     return summary.monthly_summary(t, MONTH, OPEN, division=None)
@@ -470,6 +519,17 @@ def employee_calendar(t):
     return month_calendar(t)
 
 
+@on_tables
+def employee_calendar_one(t):
+    return calendar.employee_calendar(t, MONTH, CLOSED, ONE)
+
+
+@on_tables
+def employee_calendar_one_stored(t):
+    """The same from written tables, where an employee's rows lie together."""
+    return calendar.employee_calendar(store.read_tables(*stored_tables(t)), MONTH, CLOSED, ONE)
+
+
 @on_tables
 def employee_calendar_present_first(t):
     return calendar.employee_calendar(t, MONTH, OPEN, leave_first=False)

@@ -16,6 +16,8 @@ ATTEND_SCHEMA = (
     "in_time STRING, out_device_id STRING, out_location STRING, out_time STRING"
 )
 LEAVE_SCHEMA = "emp_id STRING, date DATE, leave_type STRING"
+# Partition column of stored leave: the first of the month of ``date``.
+LEAVE_MONTH = "date_month"
 HOLIDAY_SCHEMA = "hol_date DATE"
 
 # Fixed values of the domain; results have to agree on them.

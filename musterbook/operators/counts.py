@@ -19,12 +19,22 @@ def status_counts(days: DataFrame) -> DataFrame:
     return days.groupBy("emp_id", *MASTER_COLUMNS, "attendance").agg(F.count(F.lit(1)).alias("n"))
 
 
-def status_pivot(days: DataFrame) -> DataFrame:
-    """One column per listed code and ``other`` for the rest, 0 where a code is missing."""
-    code = F.col("attendance")
-    unlisted = F.count_if(position(code, CODES).isNull())
-    return days.groupBy("emp_id", *MASTER_COLUMNS).agg(
-        *[F.count_if(code == c).alias(c) for c in CODES], unlisted.alias("other")
+def status_pivot(days: DataFrame, other_codes: bool = False) -> DataFrame:
+    """One column per listed code and ``other`` for the rest, 0 where a code is missing.
+
+    ``other_codes`` adds the unlisted codes by name, as a map from code to days. An employee is counted
+    per unlisted code first (listed days share one row), so no list of days is held and no pivot
+    has to look for the codes beforehand.
+    """
+    code, key = F.col("attendance"), ["emp_id", *MASTER_COLUMNS]
+    is_unlisted = position(code, CODES).isNull()
+    counted = [*[F.count_if(code == c).alias(c) for c in CODES], F.count_if(is_unlisted).alias("other")]
+    if not other_codes:
+        return days.groupBy(*key).agg(*counted)
+    by_code = days.groupBy(*key, F.when(is_unlisted, code).alias("unlisted")).agg(*counted)
+    named = F.collect_list(F.when(F.col("unlisted").isNotNull(), F.struct("unlisted", "other")))
+    return by_code.groupBy(*key).agg(
+        *[F.sum(c).alias(c) for c in [*CODES, "other"]], F.map_from_entries(F.array_sort(named)).alias("other_codes")
     )
 
 

@@ -12,8 +12,12 @@ from musterbook.model import ACTIVE, ALL_DIVISIONS, LEAVE_DAY_CODES, month_start
 
 
 def date_filter(df: DataFrame, column: str, first: dt.date, until: dt.date) -> DataFrame:
-    """Rows with ``first <= column < until``."""
-    return df.filter((F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(until)))
+    """Rows with ``first <= column < until``; stored months of the column are pruned and dropped."""
+    rows = df.filter((F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(until)))
+    months = f"{column}_month"
+    if months not in df.columns:
+        return rows
+    return rows.filter((F.col(months) >= F.lit(month_start(first))) & (F.col(months) < F.lit(until))).drop(months)
 
 
 def month_filter(df: DataFrame, column: str, month: dt.date | str) -> DataFrame:

@@ -17,7 +17,11 @@ def employee_lookup(
     emp_id: str | None = None,
     columns: list[str] | None = None,
     active_only: bool = False,
+    short_id: bool = False,
 ) -> DataFrame:
+    """Master rows, of one id if given; ``short_id`` takes it without its leading zeros."""
+    if short_id and emp_id is not None:
+        emp_id = emp_id.rjust(8, "0")
     chosen = employee_filter(active_employees(emp) if active_only else emp, emp_id)
     return chosen.select(*(columns or emp.columns))
 

@@ -90,6 +90,30 @@ def day_sets(leave: DataFrame, attend: DataFrame, cutoffs: Cutoffs) -> DataFrame
     return both.groupBy("emp_id", "month").agg(*merged, F.max("last_record").alias("last_record"))
 
 
+def unlisted_sets(leave: DataFrame) -> DataFrame:
+    """Per employee and month the days of each unlisted leave code, in the order of the codes.
+
+    A code is reduced to its day set first; what is listed is one entry per different code.
+    """
+    unlisted = leave.filter(position(F.col("leave_type"), CODES).isNull() & F.col("leave_type").isNotNull())
+    month = F.trunc("date", "MM").alias("month")
+    by_code = unlisted.groupBy("emp_id", month, F.col("leave_type").alias("code")).agg(days_where("TRUE", "days"))
+    listed = F.array_sort(F.collect_list(F.struct("code", "days")))
+    return by_code.groupBy("emp_id", "month").agg(listed.alias("unlisted"))
+
+
+def named_counts() -> Column:
+    """Map from unlisted code to its days: of the days that ``other`` names, each goes to its first code."""
+    entry = "named_struct('code', u.code, 'n', CAST(bit_count(u.days & acc.left) AS BIGINT))"
+    folded = (
+        "aggregate(coalesce(unlisted, CAST(array() AS ARRAY<STRUCT<code: STRING, days: BIGINT>>)), "
+        "named_struct('left', is_other & ~off, 'found', CAST(array() AS ARRAY<STRUCT<code: STRING, n: BIGINT>>)), "
+        f"(acc, u) -> named_struct('left', acc.left & ~u.days, 'found', concat(acc.found, array({entry}))), "
+        "acc -> filter(acc.found, f -> f.n > 0))"
+    )
+    return F.expr(f"map_from_entries({folded}) AS other_codes")
+
+
 def holiday_sets(holidays: DataFrame) -> DataFrame:
     """Listed holidays per month as a day set; one row per calendar month, so broadcast."""
     listed = F.expr(f"bit_or({day_bit('hol_date')}) AS listed")
@@ -113,6 +137,8 @@ def count_codes(
 ) -> DataFrame:
     """Turn day sets joined to the master into one count per code.
 
+    With a column ``unlisted`` the codes outside the list are counted by name too.
+
     Records outside the window count too; the window only adds days without one. An
     employee without any record has a placeholder on the first of the month.
     """
@@ -157,7 +183,10 @@ def count_codes(
         "cat",
         *[f"CAST(bit_count({days}) AS BIGINT) AS {code}" for code, days in final.items()],
         "CAST(bit_count(days) AS BIGINT) AS total_days",
+        *(["unlisted", "is_other", "off"] if "unlisted" in months.columns else []),
     )
+    if "unlisted" in months.columns:
+        counted = counted.withColumn("other_codes", named_counts()).drop("unlisted", "is_other", "off")
     return counted.withColumn("present_days", F.col("total_days") - F.col("A"))
 
 
@@ -171,9 +200,12 @@ def _summary(
     leave_first: bool,
     placeholders: str | None,
     cutoffs: Cutoffs,
+    other_codes: bool,
 ) -> DataFrame:
     # Facts are reduced first and meet the chosen employees then: one plan at every size.
     sets = day_sets(leave, attend, cutoffs)
+    if other_codes:
+        sets = sets.join(unlisted_sets(leave), ["emp_id", "month"], "left")
     master = chosen.select("emp_id", *MASTER_COLUMNS, "cat", "creation_date", "active_status")
     if placeholders:
         master = master.select("*", F.explode(months).alias("month"))
@@ -202,8 +234,12 @@ def monthly_summary(
     leave_first: bool = True,
     placeholders: str | None = "default",
     cutoffs: Cutoffs = Cutoffs(),
+    other_codes: bool = False,
 ) -> DataFrame:
-    """One row per employee of a division and category (None: each of them in turn)."""
+    """One row per employee of a division and category (None: each of them in turn).
+
+    ``other_codes`` adds a map with the days of every unlisted code, which ``other`` adds up.
+    """
     if placeholders == "default":
         placeholders = default_placeholders(division)
     start = month_start(month)
@@ -217,7 +253,8 @@ def monthly_summary(
         leave_first,
         placeholders,
         cutoffs,
-    ).select("emp_id", *MASTER_COLUMNS, *COUNT_COLUMNS)
+        other_codes,
+    ).select("emp_id", *MASTER_COLUMNS, *COUNT_COLUMNS, *(["other_codes"] if other_codes else []))
 
 
 def summary_all_months(
@@ -227,6 +264,7 @@ def summary_all_months(
     leave_first: bool = True,
     placeholders: str | None = None,
     cutoffs: Cutoffs = Cutoffs(),
+    other_codes: bool = False,
 ) -> DataFrame:
     """The summary of every month from ``first_month`` to yesterday's, all divisions and categories, in one job.
 
@@ -246,7 +284,8 @@ def summary_all_months(
         leave_first,
         placeholders,
         cutoffs,
-    ).select("month", "emp_id", *MASTER_COLUMNS, "cat", *COUNT_COLUMNS)
+        other_codes,
+    ).select("month", "emp_id", *MASTER_COLUMNS, "cat", *COUNT_COLUMNS, *(["other_codes"] if other_codes else []))
 
 
 def division_register(

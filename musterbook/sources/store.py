@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from musterbook.model import (
     ATTEND_SCHEMA,
     EMP_SCHEMA,
     HOLIDAY_SCHEMA,
+    LEAVE_MONTH,
     LEAVE_SCHEMA,
     Tables,
     month_start,
@@ -20,30 +22,56 @@ from musterbook.operators.counts import summary_ordered
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
-    """The four tables of a Parquet folder, as ``write_tables`` lays them out."""
+    """The four tables of a Parquet folder, as ``write_tables`` lays them out.
+
+    Leave has its partition column ``date_month`` besides; date filters use it and drop it.
+    """
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
     return Tables(
         read("emp", EMP_SCHEMA),
         read("attend", ATTEND_SCHEMA),
-        read("leave", LEAVE_SCHEMA),
+        read("leave", f"{LEAVE_SCHEMA}, {LEAVE_MONTH} DATE"),
         read("holidays", HOLIDAY_SCHEMA),
     )
 
 
-def write_tables(tables: Tables, folder: str) -> None:
-    """Facts partitioned by their date, so that a month is a partition filter.
+def write_tables(tables: Tables, folder: str, row_group_bytes: int | None = None) -> None:
+    """Facts partitioned by time and clustered by employee.
 
+    A month is a partition filter: punches lie by date, leave, of which an employee has a few days a
+    year, by month. Inside a file rows are sorted by employee, so ranges of row groups hardly overlap,
+    and a bloom filter tells most of the others apart: one employee's rows take few row groups.
     The rebalance hint lets adaptive execution gather a date's rows and split a
     date that is too large for one task.
     """
     tables.emp.write.parquet(f"{folder}/emp")
     tables.holidays.write.parquet(f"{folder}/holidays")
-    tables.attend.hint("rebalance", F.col("log_date")).write.partitionBy("log_date").parquet(
-        f"{folder}/attend"
-    )
-    tables.leave.hint("rebalance", F.col("date")).write.partitionBy("date").parquet(
-        f"{folder}/leave"
-    )
+    _write_clustered(tables.attend, "log_date", ["emp_id", "in_time"], f"{folder}/attend", row_group_bytes)
+    leave = tables.leave.select("emp_id", "date", "leave_type", F.trunc("date", "MM").alias(LEAVE_MONTH))
+    _write_clustered(leave, LEAVE_MONTH, ["emp_id", "date"], f"{folder}/leave", row_group_bytes)
+
+
+def _write_clustered(df: DataFrame, part: str, order: list[str], path: str, row_group_bytes: int | None) -> None:
+    rows = df.hint("rebalance", F.col(part)).sortWithinPartitions(part, *order)
+    writer = rows.write.partitionBy(part).option("parquet.bloom.filter.enabled#emp_id", "true")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
+
+
+def stored_last_log_date(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest punch date of written tables, from the names of the date partitions: no row of the others is looked at.
+
+    Partitions are listed, not files: one name per date. A partition that has lost its rows is passed over.
+    """
+    attend = f"{folder}/attend"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(attend)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [status.getPath().getName() for status in found if status.isDirectory()]
+    dates = sorted((name.partition("=")[2] for name in names if re.fullmatch(r"log_date=\d{4}-\d\d-\d\d", name)), reverse=True)
+    rows = spark.read.schema(ATTEND_SCHEMA).parquet(attend)
+    newest = next((d for d in dates if rows.filter(F.col("log_date") == F.lit(d).cast("date")).head(1)), None)
+    return spark.range(1).select(F.lit(newest).cast("date").alias("last_date"))
 
 
 def read_jdbc_table(
