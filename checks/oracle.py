@@ -310,14 +310,23 @@ named AS (
 
 def filled(column: str, upwards: bool) -> str:
     by_date = "PARTITION BY emp_id ORDER BY date"
-    down = f"last_value({column} IGNORE NULLS) OVER ({by_date} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    up = f"first_value({column} IGNORE NULLS) OVER ({by_date} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return f"coalesce({column}, {down}{', ' + up if upwards else ''}) AS {column}"
+    down = f"last_value({column} IGNORE NULLS) OVER ({by_date} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    up = f"first_value({column} IGNORE NULLS) OVER ({by_date} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"coalesce({down}{', ' + up if upwards else ''}) AS {column}"
 
 
 def fill_sql(upwards: bool) -> str:
-    columns = ", ".join(filled(c, upwards) for c in ["emp_name", "designation", "division"])
-    return with_base([NAMED_DAYS], f"SELECT emp_id, date, {columns} FROM named")
+    """Of each date the least named row, by all columns in order, is carried."""
+    columns = ["emp_name", "designation", "division"]
+    order = ", ".join(f"{c} NULLS LAST" for c in columns)
+    known = (
+        f"known AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY emp_id, date ORDER BY {order}) = 1)"
+    )
+    carried = f"carried AS (SELECT emp_id, date, {', '.join(filled(c, upwards) for c in columns)} FROM known)"
+    shown = ", ".join(f"coalesce(n.{c}, c.{c}) AS {c}" for c in columns)
+    return with_base(
+        [NAMED_DAYS, known, carried], f"SELECT n.emp_id, n.date, {shown} FROM named n LEFT JOIN carried c USING (emp_id, date)"
+    )
 
 
 ONE = "emp_id = '00000007'"

@@ -73,6 +73,18 @@ def test_fill_carries_over_dates(spark):
     assert fill.fill_down(df, "emp_id", "date", ["name"]).count() == df.count()
 
 
+def test_fill_does_not_mix_rows_of_a_date(spark):
+    """Two people's names under one id and date: the least row stands for the date, with its own division."""
+    rows = [(1, "Zoe", "Alpha"), (1, "Ann", "Zeta"), (2, None, None), (3, "Bob", None), (3, None, "Beta"), (4, None, None), (0, None, None)]
+    df = spark.createDataFrame([("a", day(10 + d), n, v) for d, n, v in rows], "emp_id STRING, date DATE, name STRING, division STRING")
+    take = lambda frame: {(r["date"].day - 10, r["name"], r["division"]) for r in frame.collect()}
+    down = take(fill.fill_down(df, "emp_id", "date", ["name", "division"]))
+    # On the third day Bob's row stands for the date; his division is that of the nearest date before.
+    shared = {(1, "Zoe", "Alpha"), (1, "Ann", "Zeta"), (2, "Ann", "Zeta"), (3, "Bob", "Zeta"), (3, "Bob", "Beta"), (4, "Bob", "Zeta")}
+    assert down == shared | {(0, None, None)}
+    assert take(fill.fill_downup(df, "emp_id", "date", ["name", "division"])) == shared | {(0, "Ann", "Zeta")}
+
+
 def test_spine_keeps_records_outside_the_window(spark, make_tables):
     t = make_tables([person("1", day(30))], leave=[("1", day(3), "CL"), ("1", day(30), "EL"), ("8", day(3), "CL")])
     recs = records.unified_records(t.leave, t.attend)
