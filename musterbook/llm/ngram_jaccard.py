@@ -12,6 +12,11 @@ least ``k`` among the first ``n - o + k`` of each, since at most ``o - k`` commo
 the prefix that ends first. ``o`` follows from both sizes, so this is shorter than each
 one's own prefix: classes with many shingles of their own meet in few columns or in none.
 
+Between the passes, columns that many classes of different components share are led: every entry is paired
+with a few entries of its column, drawn anew in each round, and what is linked so joins its
+components. Pairs grow with the entries; a group of texts that are similar to each other is one
+component before the second pass, whichever of them led its columns.
+
 First pass: the least hashes of each class (a bottom-k sketch) are columns of a second, narrow
 matrix. Inside its blocks each class is paired with the least one of its column and size:
 pairs grow with the entries, not with their square. Pairs that share several columns are
@@ -49,6 +54,8 @@ SKETCH_SHARED = 6
 ROW_BYTES = 5
 # ``k`` takes this part of the room between a pair's shorter prefixes and the entries at hand.
 ROOM_PART = 16
+# Columns with so many live entries are led between the passes: by so many entries, in so many rounds.
+LED, LEADERS, ROUNDS = 64, 4, 3
 PIECE_TEXTS = 1 << (64 - HASH_BITS)
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -339,15 +346,32 @@ def first_pairs(blocks: DataFrame) -> DataFrame:
     return counted.where(f"shared >= least({SKETCH_SHARED}, ceil(least(na, nb) / 2D))").select("a", "b")
 
 
+def labelled_entries(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (h column, id, n size, place) with the component of their document."""
+    return entries.join(found.select(F.col("node").alias("y"), "component"), "y", "left").select(
+        F.col("x").alias("h"), F.col("y").alias("id"), F.col("nx").alias("n"), F.col("ny").alias("place"), F.coalesce("component", "y").alias("component")
+    )
+
+
+def led_pairs(entries: DataFrame, found: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of entries of busy columns with a few leaders of their column, of different components and fitting sizes."""
+    labelled = labelled_entries(entries, found)
+    seen = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("entries"))
+    busy = labelled.join(seen.where(f"lo < hi AND entries >= {LED}").select("h"), "h", "left_semi")
+    drawn = Window.partitionBy("h").orderBy(F.xxhash64("id", F.lit(turn)), "id", "n")
+    leaders = busy.withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= LEADERS)
+    leaders = leaders.select("h", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("component").alias("own"))
+    fits = f"component != own AND id != leader AND 100 * least(n, m) >= {percent} * greatest(n, m)"
+    return busy.join(leaders, "h").where(fits).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
 def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that share prefix columns, with enough overlap to qualify.
 
     ``entries`` (x column, y document, nx size, ny place). Each block of columns is multiplied with itself,
     members of one component left out, and its overlap counts are summed per pair.
     """
-    labelled = entries.join(found.select(F.col("node").alias("y"), "component"), "y", "left").select(
-        F.col("x").alias("h"), F.col("y").alias("id"), F.col("nx").alias("n"), F.col("ny").alias("place"), F.coalesce("component", "y").alias("component")
-    )
+    labelled = labelled_entries(entries, found)
     several = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     live = labelled.join(several.select("h"), "h", "left_semi")
 
@@ -405,8 +429,7 @@ def _next_true(flags: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold, by a product of whole rows."""
-    pairs = store(pairs, "pairs")
+    """The pairs (a, b), given as a written table, whose similarity reaches the threshold, by a product of whole rows."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def rows(batches):
@@ -444,6 +467,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: i
     return full.select("a", "b", "ea", "eb").mapInArrow(product, "a long, b long")
 
 
+def tree_links(found: DataFrame) -> DataFrame:
+    return found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -462,11 +489,17 @@ def similar_components(
     # Copies of a class meet at its least document.
     least = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("least"))
     copies = rows.join(least, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    first = verified(first_pairs(blocks), whole, n_words, percent)
+    first = verified(store(first_pairs(blocks), "pairs"), whole, n_words, percent)
     found = store(components(first.unionByName(copies), "links"), "found")
-    second = verified(later_pairs(blocks.where("not pair"), found, percent), whole, n_words, percent)
-    links = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    linked = components(links.unionByName(second), "components")
+    entries = blocks.where("not pair")
+    for turn in range(ROUNDS):
+        led = store(led_pairs(entries, found, turn, percent), "led")
+        if not led.head(1):
+            break
+        more = verified(led, whole, n_words, percent)
+        found = store(components(tree_links(found).unionByName(more), "links"), "found")
+    second = verified(store(later_pairs(entries, found, percent), "pairs"), whole, n_words, percent)
+    linked = components(tree_links(found).unionByName(second), "components")
     out = rows.select("id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
 
     def back(column):
