@@ -12,11 +12,6 @@ least ``k`` among the first ``n - o + k`` of each, since at most ``o - k`` commo
 the prefix that ends first. ``o`` follows from both sizes, so this is shorter than each
 one's own prefix: classes with many shingles of their own meet in few columns or in none.
 
-Between the passes, columns that many classes of different components share are led: every entry is paired
-with a few entries of its column, drawn anew in each round, and what is linked so joins its
-components. Pairs grow with the entries; a group of texts that are similar to each other is one
-component before the second pass, whichever of them led its columns.
-
 First pass: the least hashes of each class (a bottom-k sketch) are columns of a second, narrow
 matrix. Inside its blocks each class is paired with the least one of its column and size:
 pairs grow with the entries, not with their square. Pairs that share several columns are
@@ -27,7 +22,15 @@ Every pair over the threshold has as many, so it is verified or already inside o
 component: the components are exact.
 
 Verification is a product too: whole rows of the pairs' classes are multiplied
-entry by entry, counting equal (pair, shingle) keys.
+entry by entry, counting equal (pair, shingle) keys; there a hash keeps 40 bits, since only the rows of
+one pair meet.
+
+Columns that many classes of different components share would give a row for each pair of a group of
+texts that are near each other, over the threshold or not. Such busy columns are tiled instead: the
+classes of all busy columns with one leader (the least hash of an id there) are one set, dealt by hash into
+parts of bounded weight, and each pair of parts is a tile that receives whole rows once. A tile multiplies
+its sparse rows, compares the overlaps with the bounds and emits a spanning forest of its links:
+links are linear in the rows of a tile, and no pair leaves it. A set of ``m`` parts sends each row to ``m - 1`` tiles.
 """
 
 from __future__ import annotations
@@ -54,8 +57,12 @@ SKETCH_SHARED = 6
 ROW_BYTES = 5
 # ``k`` takes this part of the room between a pair's shorter prefixes and the entries at hand.
 ROOM_PART = 16
-# Columns with so many live entries are led between the passes: by so many entries, in so many rounds.
-LED, LEADERS, ROUNDS = 64, 4, 3
+# Columns with so many live entries are tiled.
+BUSY = 64
+# Bytes of a hash in the rows of a tile; entries of a part of a tile, where every row weighs at least ``LIGHTEST``; columns multiplied at once.
+TILE_BYTES = 7
+PART, LIGHTEST = 1 << 17, 512
+STRIP = 4096
 PIECE_TEXTS = 1 << (64 - HASH_BITS)
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -346,34 +353,95 @@ def first_pairs(blocks: DataFrame) -> DataFrame:
     return counted.where(f"shared >= least({SKETCH_SHARED}, ceil(least(na, nb) / 2D))").select("a", "b")
 
 
-def labelled_entries(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries (h column, id, n size, place) with the component of their document."""
-    return entries.join(found.select(F.col("node").alias("y"), "component"), "y", "left").select(
+def shared_columns(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (h, id, n, place, component) of columns that several components share; with the column's number of entries and its leader.
+
+    ``entries`` (x column, y document, nx size, ny place).
+    """
+    labelled = entries.join(found.select(F.col("node").alias("y"), "component"), "y", "left").select(
         F.col("x").alias("h"), F.col("y").alias("id"), F.col("nx").alias("n"), F.col("ny").alias("place"), F.coalesce("component", "y").alias("component")
     )
+    columns = labelled.groupBy("h").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.count(F.lit(1)).alias("entries"),
+        F.min(F.xxhash64("id")).alias("leader"),
+    )
+    return labelled.join(columns.where("lo < hi").select("h", "entries", "leader"), "h")
+
+
+def tiles(live: DataFrame) -> DataFrame:
+    """(leader, id, part, parts): the documents of busy columns, those of one leader dealt into parts of bounded weight."""
+    members = live.where(f"entries >= {BUSY}").groupBy("leader", "id").agg(F.greatest(F.max("n"), F.lit(LIGHTEST)).alias("weight"))
+    parts = members.groupBy("leader").agg(F.ceil(F.sum("weight") / PART).alias("parts"))
+    return members.join(parts, "leader").select("leader", "id", F.pmod(F.xxhash64(F.lit("part"), "id"), "parts").alias("part"), "parts")
+
+
+def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, node) that join the nodes of each component of a symmetric boolean matrix."""
+    todo = np.ones(len(linked), bool)
+    roots, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in range(len(linked)):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        front = np.array([root])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & todo)
+            todo[front] = False
+            nodes.append(front)
+            roots.append(np.full(len(front), root))
+    return np.concatenate(roots), np.concatenate(nodes)
+
+
+def tile_links(table: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest (a, b) of the links among the rows (id, entries) of a tile, by a product of sparse rows in strips of columns."""
+    ids = table.column("id").to_numpy()
+    raw, offsets = text_buffer(table.column("entries"))
+    sizes = np.diff(offsets) // TILE_BYTES
+    h, owner = _widened(raw, TILE_BYTES), np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    same = h[1:] == h[:-1]
+    several = np.zeros(len(h), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    h, owner = h[several], owner[several]
+    new = np.ones(len(h), np.int64)
+    new[1:] = h[1:] != h[:-1]
+    column = np.cumsum(new) - 1
+    both = np.zeros((len(ids), len(ids)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+        a, b = np.searchsorted(column, (first, first + STRIP))
+        strip = np.zeros((len(ids), STRIP), np.float32)
+        strip[owner[a:b], column[a:b] - first] = 1
+        both += strip @ strip.T
+    roots, nodes = spanning_forest((both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)))
+    differ = ids[roots] != ids[nodes]
+    return pa.table({"a": ids[roots[differ]], "b": ids[nodes[differ]]})
+
+
+def tiled_links(dealt: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join what the documents of ``tiles``, given as a written table, join by similarity."""
+    rows = dealt.join(whole_rows(docs, dealt.select("id").distinct(), n_words, TILE_BYTES), "id")
+    # One part meets itself; of several, each meets every other one.
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.expr("array_remove(sequence(0L, parts - 1), part)"))
+    spread = rows.select("leader", "id", "entries", "part", F.explode(others).alias("other")).select(
+        "leader", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "entries"
+    )
 
+    def product(table):
+        return tile_links(table.select(["id", "entries"]), percent)
 
-def led_pairs(entries: DataFrame, found: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of entries of busy columns with a few leaders of their column, of different components and fitting sizes."""
-    labelled = labelled_entries(entries, found)
-    seen = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("entries"))
-    busy = labelled.join(seen.where(f"lo < hi AND entries >= {LED}").select("h"), "h", "left_semi")
-    drawn = Window.partitionBy("h").orderBy(F.xxhash64("id", F.lit(turn)), "id", "n")
-    leaders = busy.withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= LEADERS)
-    leaders = leaders.select("h", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("component").alias("own"))
-    fits = f"component != own AND id != leader AND 100 * least(n, m) >= {percent} * greatest(n, m)"
-    return busy.join(leaders, "h").where(fits).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    return spread.groupBy("leader", "lo", "hi").applyInArrow(product, "a long, b long")
 
 
-def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that share prefix columns, with enough overlap to qualify.
+def later_pairs(live: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of different components that share columns of ``shared_columns``, none of them busy, with enough overlap to qualify.
 
-    ``entries`` (x column, y document, nx size, ny place). Each block of columns is multiplied with itself,
-    members of one component left out, and its overlap counts are summed per pair.
+    Each block of columns is multiplied with itself, members of one component left out, and its overlap counts
+    are summed per pair. A pair that shares a busy column too may miss the bound here; it meets in a tile.
     """
-    labelled = labelled_entries(entries, found)
-    several = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    live = labelled.join(several.select("h"), "h", "left_semi")
 
     def run(batches):
         batches = list(batches)
@@ -409,7 +477,7 @@ def later_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) ->
                 [pa.array(np.ascontiguousarray(c)) for c in (*pairs.T, counts.astype(np.int64))], ["a", "b", "na", "nb", "shared"]
             )
 
-    counted = live.repartition("h").mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    counted = live.where(f"entries < {BUSY}").select("h", "id", "n", "place", "component").repartition("h").mapInArrow(run, "a long, b long, na long, nb long, shared long")
     overlap = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
     least = f"1 + ({need} - ({percent} * greatest(na, nb) + 99) div 100) div {ROOM_PART}"
@@ -428,20 +496,30 @@ def _next_true(flags: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(len(flags)), "right")]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b), given as a written table, whose similarity reaches the threshold, by a product of whole rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _widened(raw: np.ndarray, width: int) -> np.ndarray:
+    entry = np.zeros((len(raw) // width, 8), np.uint8)
+    entry[:, :width] = raw.reshape(-1, width)
+    return entry.view(np.uint64).ravel()
+
+
+def whole_rows(docs: DataFrame, wanted: DataFrame, n_words: int, width: int) -> DataFrame:
+    """(id, entries): the shingle hashes, of ``width`` bytes each, of the documents whose id is in ``wanted``."""
 
     def rows(batches):
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 21, PIECE_TEXTS):
                 h, bounds = shingle_sets(piece, "text", n_words)
-                raw = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :ROW_BYTES].tobytes()
-                sets = [raw[ROW_BYTES * i : ROW_BYTES * j] for i, j in zip(bounds, bounds[1:])]
+                raw = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                sets = [raw[width * i : width * j] for i, j in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sets, pa.binary())], ["id", "entries"])
 
     # One plan at every size: the ids grow with the documents.
-    sets = docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(rows, "id long, entries binary")
+    return docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(rows, "id long, entries binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b), given as a written table, whose similarity reaches the threshold, by a product of whole rows."""
+    sets = whole_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n_words, ROW_BYTES)
 
     def product(batches):
         for batch in batches:
@@ -451,9 +529,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int = WORDS, percent: i
                     raw, offsets = text_buffer(piece.column(name))
                     sizes.append(np.diff(offsets) // ROW_BYTES)
                     owner = np.repeat(np.arange(piece.num_rows, dtype=np.uint64), sizes[-1])
-                    entry = np.zeros((len(raw) // ROW_BYTES, 8), np.uint8)
-                    entry[:, :ROW_BYTES] = raw.reshape(-1, ROW_BYTES)
-                    keys.append((owner << _U(8 * ROW_BYTES)) | entry.view(np.uint64).ravel())
+                    keys.append((owner << _U(8 * ROW_BYTES)) | _widened(raw, ROW_BYTES))
                 merged = np.concatenate(keys)
                 merged.sort()
                 equal = merged[1:][merged[1:] == merged[:-1]] >> _U(8 * ROW_BYTES)
@@ -491,15 +567,10 @@ def similar_components(
     copies = rows.join(least, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     first = verified(store(first_pairs(blocks), "pairs"), whole, n_words, percent)
     found = store(components(first.unionByName(copies), "links"), "found")
-    entries = blocks.where("not pair")
-    for turn in range(ROUNDS):
-        led = store(led_pairs(entries, found, turn, percent), "led")
-        if not led.head(1):
-            break
-        more = verified(led, whole, n_words, percent)
-        found = store(components(tree_links(found).unionByName(more), "links"), "found")
-    second = verified(store(later_pairs(entries, found, percent), "pairs"), whole, n_words, percent)
-    linked = components(tree_links(found).unionByName(second), "components")
+    live = store(shared_columns(blocks.where("not pair"), found), "live")
+    tiled = tiled_links(store(tiles(live), "tiles"), whole, n_words, percent)
+    second = verified(store(later_pairs(live, percent), "pairs"), whole, n_words, percent)
+    linked = components(tree_links(found).unionByName(second).unionByName(tiled), "components")
     out = rows.select("id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
 
     def back(column):

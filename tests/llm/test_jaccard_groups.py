@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from musterbook.llm import ngram_jaccard as join
@@ -66,3 +67,32 @@ def test_links_of_a_group_stay_few(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in join.similar_components(df).collect()}
     assert found == groups(rows) and set(found.values()) == {0}
     assert max(n for _, n in handed) <= 6 * len(rows)
+
+
+def test_tiles_equal_brute_force(spark, monkeypatch):
+    """Groups that are near the threshold, over several parts: candidates are no rows, and links stay as they are."""
+    rows = edited(150, 120, 2, 3) + [(1000 + k, t.replace("b", "c")) for k, t in edited(90, 100, 1, 4)]
+    rows += [(2000 + k, " ".join(f"d{k}w{i}" for i in range(30))) for k in range(40)]
+    monkeypatch.setattr(join, "PART", 20 * join.LIGHTEST)
+    monkeypatch.setattr(join, "STRIP", 64)
+    seen = {}
+    for name in ("tiles", "later_pairs"):
+        monkeypatch.setattr(join, name, lambda *a, _real=getattr(join, name), _n=name: seen.setdefault(_n, _real(*a)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in join.similar_components(df).collect()}
+    assert found == groups(rows)
+    assert seen["tiles"].agg({"parts": "max"}).first()[0] > 3
+    assert seen["later_pairs"].count() <= join.BUSY * len(rows)
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 40):
+        linked = rng.random((n, n)) < 1.2 / max(n, 1)
+        linked |= linked.T
+        roots, nodes = join.spanning_forest(linked)
+        reach = linked | np.eye(n, dtype=bool)
+        for _ in range(n):
+            reach = reach @ reach
+        assert len(set(nodes.tolist())) == len(nodes) == n - len({tuple(r) for r in reach})
+        assert all(reach[a, b] and a < b for a, b in zip(roots, nodes))
