@@ -49,6 +49,8 @@ USUAL = [817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 75
 BANDS = [24, 32, 48, 64, 128]
 FDR = 0.05
 GRID = 20
+# Values of a list that are taken one after the other; longer lists are cut.
+STRETCH = 128
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -58,19 +60,51 @@ def match_spans(text: Column, pattern: str) -> Column:
     sums of lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern)
-    pairs = F.transform(found, lambda v, i: F.struct(F.length(F.get(pieces, i)).cast("long").alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("spans"))
+    # The piece after the last match has no value.
+    pairs = F.filter(
+        F.zip_with(F.split(text, pattern), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value"))),
+        lambda p: p["value"].isNotNull(),
+    )
 
-    def step(a, p):
-        first = a["at"] + p["gap"]
-        last = first + F.length(p["value"])
-        return F.struct(
-            last.cast("long").alias("at"),
-            F.concat(a["spans"], F.array(F.struct(first.alias("start"), last.cast("long").alias("end"), p["value"].alias("value")))).alias("spans"),
+    def spans(p):
+        ends = running(F.transform(p, lambda x: (x["gap"] + F.length(x["value"])).cast("long")), lambda a, x: a + x)
+        return F.zip_with(
+            p, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"))
+        )
+
+    return F.when(text.rlike(pattern), _let(pairs, spans))
+
+
+def running(values: Column, combine) -> Column:
+    """Totals of an array of longs up to each place, by an associative ``combine`` with neutral value 0.
+
+    In two levels, so that a list which grows by one value at a time stays short.
+    """
+
+    def short(v):
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("totals"))
+
+        def step(a, x):
+            return F.struct(combine(a["at"], x).alias("at"), F.concat(a["totals"], F.array(combine(a["at"], x))).alias("totals"))
+
+        return F.aggregate(v, start, step, lambda a: a["totals"])
+
+    def joined(parts):
+        return _let(
+            short(F.transform(parts, lambda p: F.element_at(p, -1))),
+            lambda totals: F.flatten(
+                F.transform(parts, lambda p, k: F.transform(p, lambda x: combine(F.coalesce(F.get(totals, k - 1), F.lit(0).cast("long")), x)))
+            ),
         )
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["spans"]))
+    return _let(values, lambda v: _let(F.transform(stretches(v), short), joined))
+
+
+def stretches(v: Column) -> Column:
+    """An array cut into arrays of ``STRETCH`` values."""
+    last = F.floor((F.size(v) - 1) / STRETCH).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(v, k * STRETCH + 1, STRETCH))
+    return F.filter(cut, lambda c: F.size(c) > 0)
 
 
 def _let(value: Column, use) -> Column:
@@ -248,10 +282,16 @@ def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> tuple
             extra: numbered(found[3], 3),
         }
     )
-    new = F.filter(
-        F.col(extra), lambda r: ~F.exists(F.col(base), lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
-    )
-    return df.withColumn(every, F.array_sort(F.concat(F.col(base), new))).drop(extra), base, every
+
+    def uncovered(spans):
+        # In order of start, base spans first, a random one is covered if a base span before it ends no earlier.
+        reach = running(F.transform(spans, lambda x: F.when(x["kind"] == 3, F.lit(0).cast("long")).otherwise(x["end"])), F.greatest)
+        marked = F.zip_with(spans, reach, lambda x, r: F.struct(x.alias("span"), r.alias("reach")))
+        kept = F.filter(marked, lambda m: (m["span"]["kind"] != 3) | (m["reach"] < m["span"]["end"]))
+        return F.transform(kept, lambda m: m["span"])
+
+    merged = F.array_sort(F.concat(F.col(base), F.col(extra)))
+    return df.withColumn(every, _let(merged, uncovered)).drop(extra), base, every
 
 
 def span_text(spans: Column) -> Column:
@@ -269,16 +309,31 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", fdr: flo
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are one."""
     df, base, every = find_secrets(docs, text, fdr)
     whole = F.col(f"`{text}`")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a, s):
-        clear = F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        parts = F.when(s["start"] >= a["at"], F.concat(a["parts"], F.array(clear, F.lit(mark)))).otherwise(a["parts"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    def finish(a):
-        rest = F.substring(whole, (a["at"] + 1).cast("int"), F.length(whole))
-        return F.array_join(F.concat(a["parts"], F.array(rest)), "")
+    none = F.lit(0).cast("long")
+
+    def clear(spans):
+        """(start, end) of what lies before, between and behind the spans."""
+        reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+        def gaps(r):
+            every_gap = F.transform(
+                spans, lambda s, i: F.struct(F.coalesce(F.get(r, i - 1), none).alias("start"), s["start"].alias("end"))
+            )
+            rest = F.struct(F.element_at(r, -1).alias("start"), F.length(whole).cast("long").alias("end"))
+            return F.concat(F.filter(every_gap, lambda g: g["start"] <= g["end"]), F.array(rest))
+
+        return _let(reach, gaps)
+
+    def cut(gaps):
+        # A place in a text is found by counting from its start, so gaps are cut from short stretches of it.
+        first, last = F.get(gaps, 0)["start"], F.element_at(gaps, -1)["end"]
+        return _let(
+            F.struct(first.alias("at"), F.substring(whole, (first + 1).cast("int"), (last - first).cast("int")).alias("text")),
+            lambda part: F.transform(
+                gaps, lambda g: F.substring(part["text"], (g["start"] - part["at"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+            ),
+        )
 
-    cleaned = F.when(F.size(every) > 0, F.aggregate(F.col(every), start, step, finish)).otherwise(whole)
+    parts = F.flatten(F.transform(_let(_let(F.col(every), clear), stretches), cut))
+    cleaned = F.when(F.size(every) > 0, F.array_join(parts, mark)).otherwise(whole)
     return df.withColumn(text, cleaned).select(*docs.columns)
