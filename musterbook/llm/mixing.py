@@ -92,6 +92,10 @@ def targets(
     )
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """Blocks that each shard draws of each source, and the first of its slots there."""
     every = Window.partitionBy(F.lit(0))
@@ -100,7 +104,8 @@ def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int
         sources.withColumn("shards", shards)
         .where("slots > 0")
         .select("source_key", "blocks", "slots", "shards", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-        .repartition("source_key", "chunk")
+        # Chunks are short rows and long work: an explicit number of partitions is not coalesced.
+        .repartition(_partitions(sources), "source_key", "chunk")
     )
     draws = chunks.select(
         "source_key",
@@ -130,9 +135,12 @@ def permuted(index: Column, size: Column, *key: Column, rounds: int = ROUNDS) ->
 
 def drawn_blocks(counts: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per slot: shard, source, slot, and the block it takes."""
-    slots = counts.select(
-        "shard", "source_key", "blocks", F.explode(F.expr("sequence(first_slot, first_slot + n - 1)")).alias("slot")
-    )
+    last = "first_slot + n - 1"
+    chunks = counts.select(
+        "shard", "source_key", "blocks", "first_slot", "n", F.explode(F.expr(f"sequence(first_slot div {CHUNK}, ({last}) div {CHUNK})")).alias("chunk")
+    ).repartition(_partitions(counts), "source_key", "chunk", "shard")
+    inside = f"sequence(greatest(first_slot, chunk * {CHUNK}), least({last}, (chunk + 1) * {CHUNK} - 1))"
+    slots = chunks.select("shard", "source_key", "blocks", F.explode(F.expr(inside)).alias("slot"))
     turn = F.expr("slot div blocks")
     return slots.select(
         "shard",
