@@ -289,3 +289,17 @@ def test_redact_overlaps(make_docs):
                 out += text[at:a] + "[SECRET]"
             at = max(at, b)
         assert r.text == out + text[at:]
+
+
+def test_secrets_of_a_text_with_very_many(spark, make_docs):
+    """Time grows with the matches: a list of 100,000 hashes, and lists around the length of a stretch."""
+    hashes = [f"{random.Random(k).getrandbits(128):032x}" for k in range(100_000)]
+    counts = [1, secrets.STRETCH - 1, secrets.STRETCH, secrets.STRETCH + 1, 3 * secrets.STRETCH, len(hashes)]
+    docs = make_docs([(n, "é " + "  \n".join(hashes[:n]) + " end") for n in counts])
+    found, base, every = secrets.find_secrets(docs)
+    ends = F.transform(every, lambda s: F.struct(s["start"], s["end"]))
+    for r in found.select("doc_id", F.size(base).alias("n"), ends.alias("spans")).collect():
+        assert r.n == r.doc_id
+        assert [tuple(s) for s in r.spans] == [(2 + 35 * k, 34 + 35 * k) for k in range(r.doc_id)]
+    for r in secrets.redact(docs, mark="#").select("doc_id", "text").collect():
+        assert r.text == "é " + "  \n".join("#" * r.doc_id) + " end"
