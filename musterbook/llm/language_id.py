@@ -2,9 +2,10 @@
 
 Lower-cased code points, framed by spaces, give n-grams of two lengths, hashed into ``BUCKETS``
 columns. Every task counts its texts into one dense vector per language; the vectors are
-summed by Spark, and the smoothed log-probability matrix (languages by buckets, a
-bounded size) is broadcast. Texts are scored in batches: the matrix rows of a batch's n-grams
-are gathered and summed per text.
+summed by Spark and written. The smoothed log-probability matrix (languages by buckets) is broadcast in blocks of
+``BLOCK`` languages, a bounded size each. Texts are scored in batches: the matrix rows of a batch's n-grams
+are gathered and summed per text; with more than one block, the best language and the sum of all
+likelihoods pass from block to block.
 
 Defined results: ``und`` with score 0 for a NULL text, one without a letter, or a model
 without training rows; rows without a language are not learned from; ties go to the least
@@ -13,17 +14,19 @@ language by code point; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from musterbook.llm.common import fresh, id_remainder, mix, pieces
+from musterbook.llm.common import fresh, id_remainder, mix, pieces, store
 
 LENGTHS = (2, 4)
 BUCKETS = 1 << 15
 SMOOTHING = 0.1
-MOST_LANGUAGES = 512
+BLOCK = 512
 CHUNK = 1 << 12
 _U = np.uint64
 
@@ -73,8 +76,12 @@ def count_ngrams(docs: DataFrame, lang: str, text: str) -> DataFrame:
                     new = np.bincount(grams[mine[owner]], minlength=BUCKETS)
                     counts[name] = counts[name] + new if name in counts else new
                     texts[name] = texts.get(name, 0) + int(mine.sum())
-                    if len(counts) > MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+                    if len(counts) == BLOCK:
+                        yield from rows(counts, texts)
+                        counts, texts = {}, {}
+        yield from rows(counts, texts)
+
+    def rows(counts, texts):
         for name, vector in counts.items():
             used = np.flatnonzero(vector)
             yield pa.RecordBatch.from_arrays(
@@ -94,61 +101,72 @@ def count_ngrams(docs: DataFrame, lang: str, text: str) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the matrix of log-probabilities (bucket by language); its last row is the prior."""
-    counted = count_ngrams(docs.where(F.col(lang).isNotNull() & has_letter(F.col(text))), lang, text)
-    table = counted.toArrow()  # at most languages times buckets
-    names = np.array(table.column("lang").to_pylist(), object)
-    bucket, n = (table.column(c).to_numpy() for c in ("bucket", "n"))
-    langs = sorted(set(names))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    matrix = np.zeros((BUCKETS + 1, len(langs)))
-    for k, name in enumerate(langs):
-        mine = names == name
-        matrix[bucket[mine], k] = n[mine]
-    if langs:
-        prior = matrix[-1].copy()
-        matrix += SMOOTHING
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", block: int = BLOCK) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Blocks of languages in order, and their log-probabilities (bucket by language); the last row is the prior."""
+    counted = store(count_ngrams(docs.where(F.col(lang).isNotNull() & has_letter(F.col(text))), lang, text), "ngrams")
+    texts = {r.lang: r.n for r in counted.where("bucket = -1").collect()}  # one row per language
+    langs, total = sorted(texts), sum(texts.values())
+    for first in range(0, len(langs), block):
+        names = langs[first : first + block]
+        # Code points order like UTF-8 bytes. At most ``block`` languages times buckets.
+        table = counted.where(F.col("bucket") >= 0).where(F.col("lang").between(names[0], names[-1])).toArrow()
+        place = {name: k for k, name in enumerate(names)}
+        column = np.array([place[name] for name in table.column("lang").to_pylist()], np.int64)
+        matrix = np.full((BUCKETS + 1, len(names)), SMOOTHING)
+        matrix[table.column("bucket").to_numpy(), column] += table.column("n").to_numpy()
         matrix = np.log(matrix / matrix[:-1].sum(axis=0))
-        matrix[-1] = np.log(prior / prior.sum())
-    return langs, matrix.astype(np.float32)
+        matrix[-1] = np.log(np.array([texts[name] for name in names]) / total)
+        yield names, matrix.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Iterable[tuple[list[str], np.ndarray]], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (posterior probability); such columns give way."""
-    langs, matrix = model
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    known = fresh(docs, "has_letter")
-    marked = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn(known, has_letter(F.col(f"`{text}`")))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
-    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double")
+    known, top, rest = (fresh(docs, c) for c in ("has_letter", "best_likelihood", "all_likelihoods"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in own])
+    scored = kept.withColumns(
+        {known: has_letter(F.col(f"`{text}`")), "lang_pred": F.lit("und"), top: F.lit(float("-inf")), rest: F.lit(0.0)}
+    )
+    for block in model:
+        scored = scored.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(block), text, known, top, rest), scored.schema)
+    # ``rest`` is the sum of all likelihoods over the best one.
+    score = F.when(F.col(rest) > 0, 1 / F.col(rest)).otherwise(F.lit(0.0))
+    return scored.select(*[F.col(f"`{c}`") for c in own], "lang_pred", score.alias("score"))
+
+
+def _scorer(shared, text: str, known: str, top: str, rest: str):
+    """A function over batches that compares one block of languages with the best so far."""
 
     def run(batches):
         langs, matrix = shared.value
         prior = matrix[-1].astype(np.float64)
         for batch in batches:
             for piece in pieces(batch, text, 1 << 20):
-                rows = piece.num_rows
                 lettered = piece.column(known).to_numpy(zero_copy_only=False).astype(bool)
-                pred, score = np.full(rows, "und", object), np.zeros(rows)
-                if langs and lettered.any():
-                    grams, bounds = ngrams(piece.column(text))
-                    totals = np.tile(prior, (rows, 1))
-                    filled = np.flatnonzero(np.diff(bounds))
-                    for k in range(len(langs)):
-                        gathered = matrix[:, k][grams].astype(np.float64)
-                        totals[filled, k] += np.add.reduceat(gathered, bounds[filled])
-                    best = totals.argmax(axis=1)
-                    top = totals[np.arange(rows), best]
-                    post = 1 / np.exp(totals - top[:, None]).sum(axis=1)
-                    pred[lettered] = np.array(langs, object)[best[lettered]]
-                    score[lettered] = post[lettered]
-                yield pa.RecordBatch.from_arrays(
-                    [*[piece.column(c) for c in own], pa.array(pred, pa.string()), pa.array(score)], [*own, "lang_pred", "score"]
-                )
-
-    return marked.mapInArrow(run, schema)
+                if not lettered.any():
+                    yield piece
+                    continue
+                pred = np.array(piece.column("lang_pred").to_pylist(), object)
+                most, total = (piece.column(c).to_numpy().copy() for c in (top, rest))
+                grams, bounds = ngrams(piece.column(text))
+                totals = np.tile(prior, (piece.num_rows, 1))
+                filled = np.flatnonzero(np.diff(bounds))
+                for k in range(len(langs)):
+                    gathered = matrix[:, k][grams].astype(np.float64)
+                    totals[filled, k] += np.add.reduceat(gathered, bounds[filled])
+                totals = totals[lettered]
+                best = totals.argmax(axis=1)
+                here = totals[np.arange(len(totals)), best]
+                before = most[lettered]
+                above = np.maximum(here, before)
+                pred[lettered] = np.where(here > before, np.array(langs, object)[best], pred[lettered])
+                total[lettered] = total[lettered] * np.exp(before - above) + np.exp(totals - above[:, None]).sum(axis=1)
+                most[lettered] = above
+                new = {"lang_pred": pa.array(pred, pa.string()), top: pa.array(most), rest: pa.array(total)}
+                names = piece.schema.names
+                yield pa.RecordBatch.from_arrays([new.get(c, piece.column(c)) for c in names], names)
+
+    return run
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
