@@ -17,7 +17,7 @@ Each turn is rendered by itself, so a conversation of any length is never held i
 back sorts a conversation's turns and digests them one after the other.
 
 Defined results: a NULL text is empty, a NULL role is the empty role; turns that share a number keep a
-fixed order (role, then text); a NULL conversation id is a conversation of its own; a NULL turn
+fixed order (that of their marked texts); a NULL conversation id is a conversation of its own; a NULL turn
 comes first; an empty table gives no rows.
 """
 
