@@ -53,6 +53,55 @@ def test_language_equals_brute_force():
     assert sorted(grams[bounds[4] : bounds[5]]) == sorted(one)
 
 
+def test_language_posteriors_equal_a_dictionary_model(make_docs):
+    """Plain counts in dictionaries; also with the languages in blocks, and counts handed on before a task ends."""
+    rng = random.Random(8)
+    words = {f"l{k}": [f"{chr(97 + (k * 5 + j) % 26)}{chr(97 + (k + j * 7) % 26)}o" for j in range(4)] for k in range(7)}
+    learn = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 6))), lang, None) for i, lang in enumerate(rng.choices(sorted(words), k=60))]
+    asked = [(1000 + i, " ".join(rng.choices(sum(words.values(), []), k=5)), None, None) for i in range(40)]
+
+    def buckets(text):
+        return language_id.ngrams(pa.array([text]))[0].tolist()
+
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang, _ in learn:
+        counts[lang].update(buckets(text))
+        texts[lang] += 1
+
+    def posterior(text):
+        logs = {}
+        for lang in sorted(counts):
+            whole = sum(counts[lang].values()) + language_id.SMOOTHING * language_id.BUCKETS
+            logs[lang] = np.log(texts[lang] / len(learn)) + sum(np.log((counts[lang][b] + language_id.SMOOTHING) / whole) for b in buckets(text))
+        best = max(sorted(logs), key=logs.get)
+        return best, 1 / sum(np.exp(x - logs[best]) for x in logs.values())
+
+    docs = make_docs(learn)
+    for block in (512, 3, 1):
+        model = language_id.fit(docs, block=block)
+        got = {r.doc_id: r for r in language_id.predict(make_docs(asked), model).collect()}
+        for i, text, _, _ in asked:
+            lang, score = posterior(text)
+            assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4
+
+
+def test_quality_learns_on_whole_texts_of_present_documents(spark, make_docs):
+    """Labels of absent documents take no place in the sample, and each passage of a long text counts."""
+    long = "calm words in a row. " * 2500 + "LOUD!! " * 9000
+    docs = make_docs([(i, "calm words in a row. " * 20) for i in range(30)] + [(i, "LOUD!! WORDS!! " * 20) for i in range(30, 59)] + [(59, long)])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, quality int")
+    seen = []
+    real = quality_classifier.train
+    quality_classifier.train = lambda x, bounds, y: seen.append((x, bounds, y)) or real(x, bounds, y, epochs=2)
+    try:
+        model, share = quality_classifier.fit(docs, labels, most=60)
+    finally:
+        quality_classifier.train = real
+    (x, bounds, y), = seen
+    assert len(y) == 60 and share == 0.5
+    assert bounds[-1] - bounds[-2] == -(-len(long) // quality_classifier.PASSAGE)
+
+
 def digests(rows):
     """Expected results from (conv, turn, role, text)."""
     groups = collections.defaultdict(list)
