@@ -5,18 +5,19 @@ strings have equal keys, and neighbouring strings mostly share theirs, so a docu
 into segments of consecutive strings with one key, and the suffixes of the corpus are
 partitioned by key without a global sort.
 
-1. Segments (key, place, number of strings) are packed into blocks by key; a key that only
-   one document has is dropped. A key that several documents of one piece of text have is settled
-   there: one of its segments stands for them, so a hot key is one row per piece.
-2. The remaining segments get their bytes, go to their key's block, and a block builds an
-   enhanced suffix array of its strings. Segments of equal bytes in one piece are settled there,
+1. The different keys of each document, sorted and stored as differences, are packed into blocks by
+   key; a key that only one document has is dropped. A key that several documents of one piece of text
+   have is settled there: one document stands for them, so a hot key is one row per piece.
+2. A document that gets keys back is cut again, its segments with these keys go with their bytes to
+   the key's block, and a block builds an enhanced suffix array of its strings. Segments of equal bytes in one piece are settled there,
    too: the least document stands for them.
 3. A stack scan over the common prefixes lists the intervals of the tree with a prefix of
    ``MIN_BYTES`` or more; those whose left neighbours differ are the maximal repeats, given
    with all occurrences, and each occurrence knows the least document of its repeat.
 
 A string lies in one segment of one key, so every repeated string is found inside an interval
-of its block. Only hashes decide equality of whole segments (64 bits, with their length).
+of its block. Only hashes decide equality of whole segments (64 bits, with their length). A
+document is named by the 64-bit hash of its id and text; keys returned to a wrong one do no harm.
 
 Defined results: a NULL text is empty; a NULL id counts as greater than all others; rows of one id
 never remove from each other; repeated rows are treated alike; an empty table gives no rows.
@@ -87,17 +88,6 @@ def segments(data: np.ndarray, offsets: np.ndarray, min_bytes: int = MIN_BYTES):
     return keys[first][run], text[first][run], at[first][run] + part * MOST_STRINGS, count
 
 
-def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row (bucket, packed columns) for each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edges = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)) if len(bucket) else np.zeros(1, int)
-    blobs = [pack(*[c[order[a:b]] for c in columns]) for a, b in zip(edges, edges[1:])]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"]
-    )
-
-
 def _group(*columns: np.ndarray) -> np.ndarray:
     """Number of the group of equal values of each row, groups in order of the columns."""
     order = np.lexsort(columns[::-1])
@@ -122,52 +112,79 @@ def _most(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_segments(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id, fp, start, n, key) of the segments whose key more than one document has. ``docs`` is (id, fp, text)."""
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of all values by their rank in the value: high bytes of small numbers lie together and compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).ravel()
+
+
+def _unplaned(planes: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(fp, key) of the keys that more than one document has. ``docs`` is (id, fp, text)."""
 
     def cut(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 data, offsets = text_buffer(piece.column("text"))
-                key, text, at, n = segments(data, offsets, min_bytes)
+                key, text, *_ = segments(data, offsets, min_bytes)
                 if not len(key):
                     continue
-                ids, fps = (piece.column(c).to_numpy() for c in ("id", "fp"))
-                key = mix(key)
-                bucket = (key % _U(buckets)).astype(np.int64)
-                short = (key >> _U(32)).astype(np.uint32)
-                start = (at - offsets[text]).astype(np.int64)
-                group = _group(bucket, short)
-                several = (_least(group, ids[text]) < _most(group, ids[text]))[group]
-                flag = np.where(several, SETTLED, PLAIN).astype(np.uint8)
-                # Of a settled key the least document's segment stands in the key's block; the others go on from any block.
-                stands = np.lexsort((ids[text], group))
-                stands = stands[np.r_[True, np.diff(group[stands]) > 0]]
-                stands = stands[several[stands]]
-                rows = np.concatenate([np.arange(len(key)), stands])
-                flag = np.concatenate([flag, np.full(len(stands), STANDS, np.uint8)])
-                place = np.where(flag == SETTLED, (mix(fps.view(np.uint64)) % _U(buckets)).astype(np.int64)[text[rows]], bucket[rows])
-                yield _dealt(
-                    place,
-                    [short[rows], bucket[rows].astype(np.int32), flag, ids[text[rows]], fps[text[rows]], start[rows].astype(np.int32), n[rows].astype(np.uint8)],
-                )
+                key = _block_keys(key, buckets)
+                # Stable, so the documents of one key stay in order and a repeated one follows itself.
+                order = np.argsort(key, kind="stable")
+                key, text = key[order], text[order]
+                new = np.r_[True, key[1:] != key[:-1]]
+                different = new | np.r_[True, text[1:] != text[:-1]]
+                key, fps = key[different], piece.column("fp").to_numpy()[text[different]]
+                head = np.flatnonzero(new[different])
+                several = np.minimum.reduceat(fps, head) < np.maximum.reduceat(fps, head)
+                settled = np.repeat(several, np.diff(np.append(head, len(key))))
+                # One document of a settled key stands in the key's block; all go on from any block.
+                stands = head[several]
+                rows = np.r_[np.arange(len(key)), stands]
+                flag = np.r_[np.where(settled, SETTLED, PLAIN), np.full(len(stands), STANDS)].astype(np.uint8)
+                bucket = key[rows] >> 32
+                place = np.where(flag == SETTLED, (mix(fps[rows].view(np.uint64)) % _U(buckets)).astype(np.int64), bucket)
+                yield _keys_dealt(place, key[rows], flag, fps[rows])
 
     def sift(batches):
-        for short, bucket, flag, ids, fps, start, n in _received(batches, SEGMENT_TYPES):
-            group = _group(bucket, short)
-            mine = flag != SETTLED
-            low, high = _least(group[mine], ids[mine]), _most(group[mine], ids[mine])
-            shared = flag == SETTLED
-            plain = flag == PLAIN
-            shared[plain] = (low < high)[group[plain]]
-            key = (bucket.astype(np.int64) << 32) | short.astype(np.int64)
-            yield from _batches([x[shared] for x in (ids, fps, start, n.astype(np.int32), key)], ["id", "fp", "start", "n", "key"])
+        parts = [unpack(b.as_py(), *KEY_TYPES) for batch in batches for b in batch.column("packed")]
+        if not parts:
+            return
+        columns = [(np.cumsum(_unplaned(k, np.int64)), flag, _unplaned(fps, np.int64)) for k, flag, fps in parts]
+        key, flag, fps = (np.concatenate(c) for c in zip(*columns))
+        mine = np.flatnonzero(flag != SETTLED)
+        mine = mine[np.argsort(key[mine])]
+        shared = flag == SETTLED
+        if len(mine):
+            head = np.flatnonzero(np.r_[True, key[mine][1:] != key[mine][:-1]])
+            found = np.minimum.reduceat(fps[mine], head) < np.maximum.reduceat(fps[mine], head)
+            found |= np.maximum.reduceat(flag[mine], head) == STANDS
+            shared[mine] = np.repeat(found, np.diff(np.append(head, len(mine)))) & (flag[mine] == PLAIN)
+        yield from _batches([fps[shared], key[shared]], ["fp", "key"])
 
     packed = docs.mapInArrow(cut, "bucket int, packed binary").repartition(buckets // 2, "bucket")
-    return packed.mapInArrow(sift, "id long, fp long, start int, n int, key long")
+    return packed.mapInArrow(sift, "fp long, key long")
+
+
+def _block_keys(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Block number (high half) and 32 more bits of each key."""
+    key = mix(key)
+    return ((key % _U(buckets)).astype(np.int64) << 32) | (key >> _U(32)).astype(np.int64)
+
 
+def _keys_dealt(place: np.ndarray, key: np.ndarray, flag: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    """One row (bucket, packed keys) for each place; keys ascend and are stored as differences."""
+    order = np.lexsort((key, place))
+    place, key, flag, fps = (c[order] for c in (place, key, flag, fps))
+    edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+    blobs = [pack(_planes(np.diff(key[a:b], prepend=0)), flag[a:b], _planes(fps[a:b])) for a, b in zip(edges, edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(place[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
-SEGMENT_TYPES = (np.uint32, np.int32, np.uint8, np.int64, np.int64, np.int32, np.uint8)
+
+KEY_TYPES = (np.uint8, np.uint8, np.uint8)
 STRING_TYPES = (np.uint8, np.int64, np.int64, np.int64, np.int32, np.int64)
 
 
@@ -210,6 +227,11 @@ def _united(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [ids[heads], fps[heads], start[heads], ends - start[heads], np.minimum.reduceat(first, heads)]
 
 
+def _with_text(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """One number for a key and the text of a piece that has it; a clash only takes one segment more."""
+    return mix(key.view(np.uint64)) + text.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+
+
 def _bytes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
     return data[at]
@@ -218,14 +240,14 @@ def _bytes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 def maximal_repeats(
     docs: DataFrame, shared: DataFrame, buckets: int, min_bytes: int = MIN_BYTES, later_only: bool = False
 ) -> DataFrame:
-    """Occurrences (id, fp, start, length, first_id) of all maximal repeats of ``shared`` segments.
+    """Occurrences (id, fp, start, length, first_id) of all maximal repeats of the segments with ``shared`` keys.
 
-    ``docs`` is (id, fp, text). ``first_id`` is the least document that holds the repeated string.
+    ``docs`` is (id, fp, text), ``shared`` is (fp, key). ``first_id`` is the least document that holds the repeated string.
     With ``later_only`` occurrences in the first document are left out and the others of one
     document are united inside each block (``first_id`` is then the least of the united ones).
     """
-    listed = shared.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "n", "key")).alias("found"))
-    joined = docs.join(listed, ["id", "fp"], "left").where("found is not null")
+    listed = shared.groupBy("fp").agg(F.collect_list("key").alias("found"))
+    joined = docs.join(listed, "fp", "left").where("found is not null")
 
     def fill(batches):
         for batch in batches:
@@ -233,11 +255,14 @@ def maximal_repeats(
                 data, offsets = text_buffer(piece.column("text"))
                 ids, fps = (piece.column(c).to_numpy() for c in ("id", "fp"))
                 found = piece.column("found")
-                text = np.repeat(np.arange(piece.num_rows), pa.compute.list_value_length(found).to_numpy())
-                values = found.flatten()
-                start, n, key = (values.field(k).to_numpy() for k in range(3))
-                start, size = start.astype(np.int64), n.astype(np.int64) + min_bytes - 1
-                at = offsets[text] + start
+                owner = np.repeat(np.arange(piece.num_rows), pa.compute.list_value_length(found).to_numpy())
+                wanted = np.sort(_with_text(found.flatten().to_numpy(), owner))
+                key, text, at, n = segments(data, offsets, min_bytes)
+                key = _block_keys(key, buckets)
+                mine = _with_text(key, text)
+                mine = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+                key, text, at, size = key[mine], text[mine], at[mine], n[mine] + min_bytes - 1
+                start = at - offsets[text]
                 content = span_hashes(data, at, at + size)
                 group = _group(content, size)
                 least = _least(group, ids[text])[group]
@@ -399,18 +424,18 @@ def remove_repeats(
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"),
-        F.xxhash64(F.col(text)).alias("fp"),
+        F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), F.col(text)).alias("fp"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    shared = shared_segments(whole, buckets, min_bytes)
+    shared = shared_keys(whole, buckets, min_bytes)
     repeats = maximal_repeats(whole, shared, buckets, min_bytes, later_only=True)
-    spans = repeats.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = repeats.groupBy("fp").agg(F.collect_list(F.struct("id", "start", "length")).alias("spans"))
 
     def apply(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = [
-                    (None if doc == LAST else doc, *cut(content.encode(), span))
+                    (None if doc == LAST else doc, *cut(doc, content.encode(), span))
                     for doc, content, span in zip(
                         piece.column("id").to_pylist(), piece.column("text").to_pylist(), piece.column("spans")
                     )
@@ -418,10 +443,11 @@ def remove_repeats(
                 columns = list(zip(*rows))[: len(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    def cut(raw, spans):
-        if not spans.is_valid:
+    def cut(doc, raw, spans):
+        ids, start, length = (spans.values.field(k).to_numpy() if spans.is_valid else np.zeros(0, int) for k in range(3))
+        start, length = start[ids == doc], length[ids == doc]
+        if not len(start):
             return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
-        start, length = (spans.values.field(k).to_numpy() for k in range(2))
         order = np.argsort(start, kind="stable")
         start = start[order]
         end = np.maximum.accumulate(start + length[order])
@@ -434,4 +460,4 @@ def remove_repeats(
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return whole.join(spans, ["id", "fp"], "left").select("id", "text", "spans").mapInArrow(apply, schema)
+    return whole.join(spans, "fp", "left").select("id", "text", "spans").mapInArrow(apply, schema)
