@@ -17,7 +17,8 @@ partitioned by key without a global sort.
 
 A string lies in one segment of one key, so every repeated string is found inside an interval
 of its block. Only hashes decide equality of whole segments (64 bits, with their length). A
-document is named by the 64-bit hash of its id and text; keys returned to a wrong one do no harm.
+document is named by the 64-bit hash of its id and text; keys travel with 48 bits of it, and those returned to a wrong
+document do no harm. Two documents with equal 48 bits (one pair in 2.8e14) that alone share a key are taken for one.
 
 Defined results: a NULL text is empty; a NULL id counts as greater than all others; rows of one id
 never remove from each other; repeated rows are treated alike; an empty table gives no rows.
@@ -112,6 +113,17 @@ def _most(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _segments_of(piece: pa.RecordBatch, min_bytes: int):
+    """``segments`` of the texts of a piece, with bounded work arrays."""
+    text, at = 0, 0
+    for part in pieces(piece, "text"):
+        data, offsets = text_buffer(part.column("text"))
+        key, number, start, n = segments(data, offsets, min_bytes)
+        yield key, number + text, start + at, n
+        text += part.num_rows
+        at += len(data)
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
     """The bytes of all values by their rank in the value: high bytes of small numbers lie together and compress away."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).ravel()
@@ -122,13 +134,12 @@ def _unplaned(planes: np.ndarray, kind) -> np.ndarray:
 
 
 def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(fp, key) of the keys that more than one document has. ``docs`` is (id, fp, text)."""
+    """(tag, key) of the keys that more than one document has. ``docs`` is (id, fp, tag, text)."""
 
     def cut(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                data, offsets = text_buffer(piece.column("text"))
-                key, text, *_ = segments(data, offsets, min_bytes)
+            for piece in pieces(batch, "text", PIECE, batch.num_rows):
+                key, text = (np.concatenate(c) for c in list(zip(*_segments_of(piece, min_bytes)))[:2])
                 if not len(key):
                     continue
                 key = _block_keys(key, buckets)
@@ -137,7 +148,7 @@ def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> Da
                 key, text = key[order], text[order]
                 new = np.r_[True, key[1:] != key[:-1]]
                 different = new | np.r_[True, text[1:] != text[:-1]]
-                key, fps = key[different], piece.column("fp").to_numpy()[text[different]]
+                key, fps = key[different], piece.column("tag").to_numpy()[text[different]]
                 head = np.flatnonzero(new[different])
                 several = np.minimum.reduceat(fps, head) < np.maximum.reduceat(fps, head)
                 settled = np.repeat(several, np.diff(np.append(head, len(key))))
@@ -153,7 +164,7 @@ def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> Da
         parts = [unpack(b.as_py(), *KEY_TYPES) for batch in batches for b in batch.column("packed")]
         if not parts:
             return
-        columns = [(np.cumsum(_unplaned(k, np.int64)), flag, _unplaned(fps, np.int64)) for k, flag, fps in parts]
+        columns = [(np.cumsum(_unplaned(k, np.int64)), flag, _unplaned(np.r_[fps, np.zeros((8 - TAG_BYTES) * len(flag), np.uint8)], np.int64)) for k, flag, fps in parts]
         key, flag, fps = (np.concatenate(c) for c in zip(*columns))
         mine = np.flatnonzero(flag != SETTLED)
         mine = mine[np.argsort(key[mine])]
@@ -163,10 +174,10 @@ def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> Da
             found = np.minimum.reduceat(fps[mine], head) < np.maximum.reduceat(fps[mine], head)
             found |= np.maximum.reduceat(flag[mine], head) == STANDS
             shared[mine] = np.repeat(found, np.diff(np.append(head, len(mine)))) & (flag[mine] == PLAIN)
-        yield from _batches([fps[shared], key[shared]], ["fp", "key"])
+        yield from _batches([fps[shared], key[shared]], ["tag", "key"])
 
     packed = docs.mapInArrow(cut, "bucket int, packed binary").repartition(buckets // 2, "bucket")
-    return packed.mapInArrow(sift, "fp long, key long")
+    return packed.mapInArrow(sift, "tag long, key long")
 
 
 def _block_keys(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -180,19 +191,23 @@ def _keys_dealt(place: np.ndarray, key: np.ndarray, flag: np.ndarray, fps: np.nd
     order = np.lexsort((key, place))
     place, key, flag, fps = (c[order] for c in (place, key, flag, fps))
     edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-    blobs = [pack(_planes(np.diff(key[a:b], prepend=0)), flag[a:b], _planes(fps[a:b])) for a, b in zip(edges, edges[1:])]
+    blobs = [pack(_planes(np.diff(key[a:b], prepend=0)), flag[a:b], _planes(fps[a:b])[: TAG_BYTES * (b - a)]) for a, b in zip(edges, edges[1:])]
     return pa.RecordBatch.from_arrays([pa.array(place[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
 
 KEY_TYPES = (np.uint8, np.uint8, np.uint8)
-STRING_TYPES = (np.uint8, np.int64, np.int64, np.int64, np.int32, np.int64)
+PIECE = 8 << 20
+# Bytes of the name by which a document's keys travel and by which it gets back keys and spans.
+TAG_BYTES = 6
 
 
-def _received(batches, types):
-    """The packed columns of a task, joined; nothing if there are none."""
-    parts = [unpack(b.as_py(), *types) for batch in batches for b in batch.column("packed")]
+def _strings_received(batches):
+    """Bytes, id, fp, start, size and first id of the segments of a task; nothing if there are none."""
+    parts = [unpack(b.as_py(), *[np.uint8] * 6) for batch in batches for b in batch.column("packed")]
     if parts:
-        yield [np.concatenate([p[k] for p in parts]) for k in range(len(types))]
+        wide = [[c if k in (0, 4) else _unplaned(c, np.int64) for k, c in enumerate(part)] for part in parts]
+        del parts
+        yield [np.concatenate(c) for c in zip(*wide)]
 
 
 def _segment_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -242,28 +257,31 @@ def maximal_repeats(
 ) -> DataFrame:
     """Occurrences (id, fp, start, length, first_id) of all maximal repeats of the segments with ``shared`` keys.
 
-    ``docs`` is (id, fp, text), ``shared`` is (fp, key). ``first_id`` is the least document that holds the repeated string.
+    ``docs`` is (id, fp, tag, text), ``shared`` is (tag, key). ``first_id`` is the least document that holds the repeated string.
     With ``later_only`` occurrences in the first document are left out and the others of one
     document are united inside each block (``first_id`` is then the least of the united ones).
     """
-    listed = shared.groupBy("fp").agg(F.collect_list("key").alias("found"))
-    joined = docs.join(listed, "fp", "left").where("found is not null")
+    listed = shared.groupBy("tag").agg(F.collect_list("key").alias("found"))
+    joined = docs.join(listed, "tag", "left").where("found is not null")
 
     def fill(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE, batch.num_rows):
                 data, offsets = text_buffer(piece.column("text"))
                 ids, fps = (piece.column(c).to_numpy() for c in ("id", "fp"))
                 found = piece.column("found")
                 owner = np.repeat(np.arange(piece.num_rows), pa.compute.list_value_length(found).to_numpy())
                 wanted = np.sort(_with_text(found.flatten().to_numpy(), owner))
-                key, text, at, n = segments(data, offsets, min_bytes)
-                key = _block_keys(key, buckets)
-                mine = _with_text(key, text)
-                mine = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
-                key, text, at, size = key[mine], text[mine], at[mine], n[mine] + min_bytes - 1
+                taken = []
+                for key, text, at, n in _segments_of(piece, min_bytes):
+                    key = _block_keys(key, buckets)
+                    mine = _with_text(key, text)
+                    mine = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+                    taken.append([c[mine] for c in (key, text, at, n)])
+                key, text, at, n = (np.concatenate(c) for c in zip(*taken))
+                size = n + min_bytes - 1
                 start = at - offsets[text]
-                content = span_hashes(data, at, at + size)
+                content = _segment_hashes(data, at, size)
                 group = _group(content, size)
                 least = _least(group, ids[text])[group]
                 later = ids[text] > least
@@ -277,11 +295,9 @@ def maximal_repeats(
                     blobs.append(
                         pack(
                             _bytes_of(data, at[rows], with_bytes),
-                            ids[text[rows]],
-                            fps[text[rows]],
-                            start[rows],
-                            size[rows].astype(np.int32),
-                            np.where(later[rows], least[rows], LAST),
+                            *[_planes(x) for x in (ids[text[rows]], fps[text[rows]], start[rows])],
+                            size[rows].astype(np.uint8),
+                            _planes(np.where(later[rows], least[rows], LAST)),
                         )
                     )
                 yield pa.RecordBatch.from_arrays(
@@ -289,7 +305,7 @@ def maximal_repeats(
                 )
 
     def occurrences(batches):
-        for data, ids, fps, start, size, first in _received(batches, STRING_TYPES):
+        for data, ids, fps, start, size, first in _strings_received(batches):
             size = size.astype(np.int64)
             later = first < LAST
             yield ids[later], fps[later], start[later], size[later], first[later]
@@ -331,7 +347,6 @@ def block_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.nd
     bounds = np.concatenate([[0], np.cumsum(np.bincount(group))])
     distinct = members[bounds[:-1]]
     # Only keys with several different segments need the array; their strings share prefixes of min_bytes.
-    shift = data.astype(np.uint8) + np.uint8(1)  # 255 is no byte of UTF-8, so 0 marks the end
     keys = window_key_of(data, at[distinct], min_bytes)
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
@@ -350,7 +365,7 @@ def block_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.nd
             cut.append(int(t))
     for a, b in zip(cut, [*cut[1:], len(order)]):
         chosen = order[a:b]
-        yield from _array_repeats(shift, at, size, distinct[chosen], chosen, members, bounds, ids, least, min_bytes)
+        yield from _array_repeats(data, at, size, distinct[chosen], chosen, members, bounds, ids, least, min_bytes)
 
 
 def window_key_of(data: np.ndarray, at: np.ndarray, min_bytes: int) -> np.ndarray:
@@ -363,21 +378,54 @@ def window_key_of(data: np.ndarray, at: np.ndarray, min_bytes: int) -> np.ndarra
     return out
 
 
-def _array_repeats(shift, at, size, rows, groups, members, bounds, ids, least, min_bytes):
-    """Enhanced suffix array of the strings of some distinct segments, and the scan of its tree."""
+def _array_repeats(data, at, size, rows, groups, members, bounds, ids, least, min_bytes):
+    """Repeats of the strings of some distinct segments, an array of a bounded number of strings at a time.
+
+    Strings that differ in their first ``min_bytes`` bytes share no interval, so a busy key is cut between these.
+    """
+    flat = _bytes_of(data, at[rows], size[rows])
+    base = np.cumsum(size[rows]) - size[rows]
     count = size[rows] - min_bytes + 1
-    owner = np.repeat(np.arange(len(rows)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    length = size[rows][owner] - offset
-    wide = int(length.max())
-    place = (at[rows][owner] + offset)[:, None] + np.arange(wide)
-    matrix = np.where(np.arange(wide) < length[:, None], shift[np.minimum(place, len(shift) - 1)], 0).astype(np.uint8)
-    suffixes = np.argsort(np.ascontiguousarray(matrix).view(f"S{wide}").ravel(), kind="stable")
-    matrix, owner, offset, length = matrix[suffixes], owner[suffixes], offset[suffixes], length[suffixes]
-    differ = matrix[1:] != matrix[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
-    common = np.minimum(common, np.minimum(length[1:], length[:-1]))
-    before = np.where(offset > 0, shift[at[rows][owner] + offset - 1].astype(np.int64), -1 - np.arange(len(offset)))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), count)
+    offset = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+    place = base[owner] + offset
+    lead = span_hashes(flat, place, place + min_bytes)
+    order = np.argsort(lead, kind="stable")
+    new = np.r_[True, lead[order][1:] != lead[order][:-1], True]
+    alone = new[:-1] & new[1:]
+    order, turn = order[~alone], np.flatnonzero(new[:-1][~alone])
+    if not len(order):
+        return
+    last = np.append(turn[1:], len(order))
+    # Groups in order until an array has CHUNK strings.
+    part = last // CHUNK
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    for a, b in zip(cuts, cuts[1:]):
+        low, high = turn[a], last[b - 1]
+        chosen = order[low:high]
+        number = np.repeat(np.arange(b - a), last[a:b] - turn[a:b])
+        yield from _interval_repeats(
+            flat, place[chosen], owner[chosen], offset[chosen], number, size[rows], rows, groups, members, bounds, ids, least, min_bytes
+        )
+
+
+def _interval_repeats(flat, place, owner, offset, number, size, rows, groups, members, bounds, ids, least, min_bytes):
+    """Enhanced suffix array of strings, whose ``number`` names their first ``min_bytes`` bytes, and the scan of its tree."""
+    tail = size[owner] - offset - min_bytes
+    wide = int(tail.max())
+    columns = np.arange(wide, dtype=np.int32)
+    matrix = np.zeros((len(place), 4 + wide), np.uint8)
+    matrix[:, :4] = number.astype(">u4").view(np.uint8).reshape(-1, 4)
+    inside = columns < tail[:, None]
+    # 255 is no byte of UTF-8, so 0 marks the end.
+    matrix[:, 4:][inside] = flat[((place + min_bytes)[:, None] + columns)[inside]] + np.uint8(1)
+    suffixes = np.argsort(matrix.view(f"S{4 + wide}").ravel(), kind="stable")
+    matrix, place, owner, offset, tail, number = (x[suffixes] for x in (matrix, place, owner, offset, tail, number))
+    differ = matrix[1:, 4:] != matrix[:-1, 4:]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide) if wide else np.zeros(len(differ), np.int64)
+    common = np.minimum(common, np.minimum(tail[1:], tail[:-1])) + min_bytes
+    common[number[1:] != number[:-1]] = 0
+    before = np.where(offset > 0, flat[np.maximum(place - 1, 0)].astype(np.int64), -1 - np.arange(len(offset)))
     lowest = least[groups][owner]
     changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     found = np.array(list(tree_intervals(common, min_bytes)), np.int64).reshape(-1, 3)
@@ -413,6 +461,10 @@ def tree_intervals(common: np.ndarray, least: int):
                 stack.append((value, left))
 
 
+def _tag():
+    return F.col("fp").bitwiseAND(F.lit((1 << 8 * TAG_BYTES) - 1)).alias("tag")
+
+
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, with_kept: bool = True
 ) -> DataFrame:
@@ -427,25 +479,30 @@ def remove_repeats(
         F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), F.col(text)).alias("fp"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
+    whole = whole.select("id", "fp", _tag(), "text")
     shared = shared_keys(whole, buckets, min_bytes)
     repeats = maximal_repeats(whole, shared, buckets, min_bytes, later_only=True)
-    spans = repeats.groupBy("fp").agg(F.collect_list(F.struct("id", "start", "length")).alias("spans"))
+    # Both lists come from the same rows, so their places agree.
+    spans = repeats.groupBy(_tag()).agg(
+        F.collect_list("fp").alias("owners"), F.collect_list(F.expr("start << 32 | length")).alias("spans")
+    )
 
     def apply(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = [
-                    (None if doc == LAST else doc, *cut(doc, content.encode(), span))
-                    for doc, content, span in zip(
-                        piece.column("id").to_pylist(), piece.column("text").to_pylist(), piece.column("spans")
+                    (None if doc == LAST else doc, *cut(fp, content.encode(), owner, span))
+                    for doc, fp, content, owner, span in zip(
+                        *(piece.column(c).to_pylist() for c in ("id", "fp", "text")), piece.column("owners"), piece.column("spans")
                     )
                 ]
                 columns = list(zip(*rows))[: len(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    def cut(doc, raw, spans):
-        ids, start, length = (spans.values.field(k).to_numpy() if spans.is_valid else np.zeros(0, int) for k in range(3))
-        start, length = start[ids == doc], length[ids == doc]
+    def cut(fp, raw, owners, spans):
+        own, packed = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (owners, spans))
+        packed = packed[own == fp]
+        start, length = packed >> 32, packed & 0xFFFFFFFF
         if not len(start):
             return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
         order = np.argsort(start, kind="stable")
@@ -460,4 +517,4 @@ def remove_repeats(
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return whole.join(spans, "fp", "left").select("id", "text", "spans").mapInArrow(apply, schema)
+    return whole.join(spans, "tag", "left").select("id", "fp", "text", "owners", "spans").mapInArrow(apply, schema)
