@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterbook.llm.common import mix, pack, pieces, text_buffer, unpack
+from musterbook.llm.common import mix, pack_small, pieces, text_buffer, unpack
 from musterbook.llm.ngram_jaccard import span_hashes
 
 MIN_BYTES = 50
@@ -42,6 +42,7 @@ MOST_STRINGS = 64
 LAST = 2**63 - 1
 PLAIN, SETTLED, STANDS = 0, 1, 2
 CHUNK = 20_000
+MOST_LISTED = 1 << 18
 _U = np.uint64
 
 
@@ -191,7 +192,7 @@ def _keys_dealt(place: np.ndarray, key: np.ndarray, flag: np.ndarray, fps: np.nd
     order = np.lexsort((key, place))
     place, key, flag, fps = (c[order] for c in (place, key, flag, fps))
     edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-    blobs = [pack(_planes(np.diff(key[a:b], prepend=0)), flag[a:b], _planes(fps[a:b])[: TAG_BYTES * (b - a)]) for a, b in zip(edges, edges[1:])]
+    blobs = [pack_small(_planes(np.diff(key[a:b], prepend=0)), flag[a:b], _planes(fps[a:b])[: TAG_BYTES * (b - a)]) for a, b in zip(edges, edges[1:])]
     return pa.RecordBatch.from_arrays([pa.array(place[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
 
@@ -293,7 +294,7 @@ def maximal_repeats(
                     rows = order[a:b]
                     with_bytes = np.where(later[rows], 0, size[rows])
                     blobs.append(
-                        pack(
+                        pack_small(
                             _bytes_of(data, at[rows], with_bytes),
                             *[_planes(x) for x in (ids[text[rows]], fps[text[rows]], start[rows])],
                             size[rows].astype(np.uint8),
@@ -430,8 +431,12 @@ def _interval_repeats(flat, place, owner, offset, number, size, rows, groups, me
     changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     found = np.array(list(tree_intervals(common, min_bytes)), np.int64).reshape(-1, 3)
     depth, low, high = found[changes[found[:, 1]] != changes[found[:, 2]]].T
-    for k in range(0, len(depth), 1 << 12):
-        d, lo, hi = (x[k : k + (1 << 12)] for x in (depth, low, high))
+    # Intervals nest, so their occurrences are listed a bounded number at a time.
+    copies = np.append(0, np.cumsum((bounds[groups + 1] - bounds[groups])[owner]))
+    part = np.cumsum(copies[high + 1] - copies[low]) // MOST_LISTED
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+    for a, b in zip(cuts, cuts[1:]):
+        d, lo, hi = depth[a:b], low[a:b], high[a:b]
         n = hi - lo + 1
         edges = np.cumsum(n) - n
         suffix = np.arange(n.sum()) - np.repeat(edges, n) + np.repeat(lo, n)
