@@ -502,6 +502,9 @@ framed AS (
     "summary_all_months": with_base(
         day_ctes("2024-02-01", placeholders=None, first="1995-01-01"),
         summary_select(f"month, emp_id, {NAMES}, cat")),
+    "summary_incremental": with_base(
+        day_ctes("2024-02-01", placeholders=None, first="1995-01-01"),
+        summary_select(f"month, emp_id, {NAMES}, cat")),
     "empty_summary_message": with_base(
         day_ctes("2024-02-01", chosen="division = 'NATION_3' AND cat = 'Visitor'"),
         "SELECT 'No Visitor in NATION_3 in Jan 2024' AS error WHERE NOT EXISTS (SELECT 1 FROM days)"),

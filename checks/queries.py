@@ -13,7 +13,7 @@ from musterbook.model import MASTER_COLUMNS, Cutoffs, Tables, month_start, next_
 from musterbook.operators import counts, days, fill, filters, joins, lookups, records
 from musterbook.plans import calendar, summary
 from musterbook.session import shared_folder
-from musterbook.sources import store
+from musterbook.sources import day_sets, store
 from musterbook.sources.derived import DerivedTables
 
 MONTH = dt.date(2024, 1, 1)
@@ -545,6 +545,17 @@ def summary_all_months(t):
     return summary.summary_all_months(t, CLOSED, FIRST_IN_DATA)
 
 
+@on_tables
+def summary_incremental(t):
+    """All months from kept day sets: the facts until a day in mid-month first, then the rest merged in."""
+    cut = "2024-01-17"
+    folder = shared_folder(t.emp.sparkSession, "day-sets")
+    day_sets.write_day_sets(t.leave.where(f"date < '{cut}'"), t.attend.where(f"log_date < '{cut}'"), folder)
+    day_sets.merge_day_sets(t.leave.where(f"date >= '{cut}'"), t.attend.where(f"log_date >= '{cut}'"), folder)
+    kept = day_sets.read_day_sets(t.emp.sparkSession, folder)
+    return summary.summary_from_sets(kept, t.emp, t.holidays, CLOSED, FIRST_IN_DATA)
+
+
 @on_tables
 def empty_summary_message(t):
     table = summary.monthly_summary(t, MONTH, CLOSED, "NATION_3", "Visitor")

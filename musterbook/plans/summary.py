@@ -86,8 +86,13 @@ def day_sets(leave: DataFrame, attend: DataFrame, cutoffs: Cutoffs) -> DataFrame
     aggregate; what meets here is one row per employee, month and kind.
     """
     both = punch_sets(attend, cutoffs).unionByName(leave_sets(leave), allowMissingColumns=True)
+    return united_sets(both)
+
+
+def united_sets(sets: DataFrame) -> DataFrame:
+    """One row per employee and month: the union of the day sets of several."""
     merged = [F.bit_or(name).alias(name) for name in SET_COLUMNS]
-    return both.groupBy("emp_id", "month").agg(*merged, F.max("last_record").alias("last_record"))
+    return sets.groupBy("emp_id", "month").agg(*merged, F.max("last_record").alias("last_record"))
 
 
 def unlisted_sets(leave: DataFrame) -> DataFrame:
@@ -206,6 +211,18 @@ def _summary(
     sets = day_sets(leave, attend, cutoffs)
     if other_codes:
         sets = sets.join(unlisted_sets(leave), ["emp_id", "month"], "left")
+    return _summary_of_sets(holidays, chosen, sets, months, as_of, leave_first, placeholders)
+
+
+def _summary_of_sets(
+    holidays: DataFrame,
+    chosen: DataFrame,
+    sets: DataFrame,
+    months: Column,
+    as_of: dt.date,
+    leave_first: bool,
+    placeholders: str | None,
+) -> DataFrame:
     master = chosen.select("emp_id", *MASTER_COLUMNS, "cat", "creation_date", "active_status")
     if placeholders:
         master = master.select("*", F.explode(months).alias("month"))
@@ -271,9 +288,8 @@ def summary_all_months(
     Without placeholders it holds the employees with a record in the month, as the
     choice ``All`` does; with them, also those without.
     """
-    first, last = month_start(first_month), month_start(as_of - dt.timedelta(days=1))
-    joined = F.greatest(F.lit(first), F.trunc("creation_date", "MM"))
-    months = F.when(joined <= F.lit(last), F.sequence(joined, F.lit(last), F.expr("INTERVAL 1 MONTH")))
+    first, months = _months_until(as_of, first_month)
+    last = month_start(as_of - dt.timedelta(days=1))
     return _summary(
         date_filter(tables.holidays, "hol_date", first, next_month(last)),
         tables.emp,
@@ -288,6 +304,37 @@ def summary_all_months(
     ).select("month", "emp_id", *MASTER_COLUMNS, "cat", *COUNT_COLUMNS, *(["other_codes"] if other_codes else []))
 
 
+def summary_from_sets(
+    sets: DataFrame,
+    emp: DataFrame,
+    holidays: DataFrame,
+    as_of: dt.date,
+    first_month: dt.date | str,
+    leave_first: bool = True,
+    placeholders: str | None = None,
+) -> DataFrame:
+    """``summary_all_months`` from kept day sets (``sources.day_sets``) instead of the whole history."""
+    first, months = _months_until(as_of, first_month)
+    last = month_start(as_of - dt.timedelta(days=1))
+    counted = _summary_of_sets(
+        date_filter(holidays, "hol_date", first, next_month(last)),
+        emp,
+        sets.filter(F.col("month").between(F.lit(first), F.lit(last))),
+        months,
+        as_of,
+        leave_first,
+        placeholders,
+    )
+    return counted.select("month", "emp_id", *MASTER_COLUMNS, "cat", *COUNT_COLUMNS)
+
+
+def _months_until(as_of: dt.date, first_month: dt.date | str) -> tuple[dt.date, Column]:
+    """The first month, and the months of an employee from there to yesterday's."""
+    first, last = month_start(first_month), month_start(as_of - dt.timedelta(days=1))
+    joined = F.greatest(F.lit(first), F.trunc("creation_date", "MM"))
+    return first, F.when(joined <= F.lit(last), F.sequence(joined, F.lit(last), F.expr("INTERVAL 1 MONTH")))
+
+
 def division_register(
     tables: Tables, month: dt.date | str, as_of: dt.date, cat: str | None = None, **options
 ) -> DataFrame:
