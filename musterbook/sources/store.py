@@ -114,9 +114,13 @@ def in_range(column: str, first: dt.date, until: dt.date) -> Column:
     return (F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(until))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files holding arrays of JSON objects; an absent field is NULL."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files holding arrays of JSON objects, or (``lines``) one object per line; an absent field is NULL.
+
+    An array is one document, so its file is one task. A large file of lines is split over tasks;
+    blank lines give no row, a line that is no object gives a row of NULLs.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def json_record_fields(df: DataFrame, column: str, schema: str) -> DataFrame:

@@ -28,6 +28,22 @@ def test_json_records(spark, tmp_path):
     assert rows[0]["creation_date"] == day(10) and rows[0]["cat"] is None and rows[1]["emp_name"] is None
 
 
+def test_json_lines_are_split_over_tasks(spark, tmp_path):
+    file = tmp_path / "emp.json"
+    odd = ["", "broken", '{"cat": null}']
+    file.write_text("\n".join([json.dumps({"emp_id": f"{n:08}", "creation_date": "2024-01-10"}) for n in range(20_000)] + odd))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(100_000))
+    try:
+        rows = store.read_json_records(spark, str(file), EMP_SCHEMA, lines=True)
+        assert rows.rdd.getNumPartitions() >= 10
+        assert rows.where("emp_id is not null").distinct().count() == 20_000
+        assert [r for r in rows.where("emp_id is null").collect() if any(x is not None for x in r)] == []
+        assert rows.where("emp_id is null").count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_fields(spark):
     df = spark.createDataFrame([(1, '{"k": 5}'), (2, '{"k": "x", "note": "n"}'), (3, "broken"), (4, None)], "id INT, props STRING")
     rows = store.json_record_fields(df, "props", "k INT, note STRING").orderBy("id").collect()
