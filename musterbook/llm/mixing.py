@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from musterbook.llm.common import word_list
+from musterbook.llm.common import SPACE
 
 BLOCK = 128
 SHARD_BLOCKS = 4096
@@ -38,22 +38,44 @@ CHUNK = 4096
 
 
 def _source_key(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+    return F.coalesce(F.concat(F.lit("+"), source), F.lit("-"))
+
+
+def _bucket() -> Column:
+    """Group of a document. Never NULL, and said so: a join on it would else filter by the counted words a second time."""
+    return F.coalesce(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(GROUPS)), F.lit(0).cast("long"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``words`` with one space between two of them (empty for NULL), and their number ``size``.
+
+    Columns are made one after the other, so each is computed once.
+    """
+    plain = F.coalesce(F.btrim("words", F.lit(SPACE)), F.lit(""))
+    for white in SPACE[1:]:
+        plain = F.replace(plain, F.lit(white), F.lit(" "))
+    words = F.col("words")
+    # Most texts have no run of white space, and a search for a fixed string is far cheaper than a pattern.
+    single = F.when(F.contains(words, F.lit("  ")), F.regexp_replace(words, " {2,}", " ")).otherwise(words)
+    gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+    size = F.when(words == "", 0).otherwise(gaps + 1).cast("long")
+    return docs.withColumn("words", plain).withColumn("words", single).withColumn("size", size)
 
 
 def document_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: ``doc_id``, its size in words, the key of its source and its group there."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.size(word_list(F.col(text))).cast("long").alias("size"),
-        _source_key(F.col(source).cast("string")).alias("source_key"),
-    ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(GROUPS)))
+    texts = docs.select(
+        F.col(doc_id).alias("doc_id"), _source_key(F.col(source).cast("string")).alias("source_key"), F.col(text).alias("words")
+    )
+    return _counted(texts).select(
+        "doc_id", "size", "source_key", _bucket().alias("bucket")
+    )
 
 
 def targets(
     sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, block: int = BLOCK
 ) -> DataFrame:
-    """Per source: size, target, number of blocks and number of slots.
+    """Per source: size, target, number of blocks and number of slots. ``sizes`` has ``source_key`` and ``size``, of documents or sums.
 
     Sources by code point share ``share`` times all sizes by weight, each at most ``most`` times its
     size. Filling by weight stops at the caps in order of cap / weight, so the level is found
@@ -118,14 +140,20 @@ def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int
     return counts.withColumn("first_slot", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def permuted(index: Column, size: Column, *key: Column, rounds: int = ROUNDS) -> Column:
+def pivots(size: Column, *key: Column, rounds: int = ROUNDS) -> Column:
+    """The pivots of the rounds of a permutation of 0 .. size - 1: one list for all that it permutes."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(F.xxhash64(F.lit("pivot"), *key, r), size))
+
+
+def permuted(index: Column, size: Column, *key: Column, rounds: int = ROUNDS, known: Column | None = None) -> Column:
     """Image of ``index`` under a keyed permutation of 0 .. size - 1 (swap-or-not rounds).
 
     Each round pairs x with k - x and swaps the pair or not by a hashed bit of its larger member.
+    ``known`` are the ``pivots`` of this size and key, where a row has them.
     """
 
     def step(x, r):
-        k = F.pmod(F.xxhash64(F.lit("pivot"), *key, r), size)
+        k = F.pmod(F.xxhash64(F.lit("pivot"), *key, r), size) if known is None else F.get(known, r - 1)
         pair = F.pmod(k - x, size)
         bit = F.xxhash64(F.lit("bit"), *key, r, F.greatest(x, pair)).bitwiseAND(F.lit(1).cast("long"))
         return F.when(bit == 1, pair).otherwise(x)
@@ -139,15 +167,20 @@ def drawn_blocks(counts: DataFrame, seed: int = SEED) -> DataFrame:
     chunks = counts.select(
         "shard", "source_key", "blocks", "first_slot", "n", F.explode(F.expr(f"sequence(first_slot div {CHUNK}, ({last}) div {CHUNK})")).alias("chunk")
     ).repartition(_partitions(counts), "source_key", "chunk", "shard")
-    inside = f"sequence(greatest(first_slot, chunk * {CHUNK}), least({last}, (chunk + 1) * {CHUNK} - 1))"
-    slots = chunks.select("shard", "source_key", "blocks", F.explode(F.expr(inside)).alias("slot"))
-    turn = F.expr("slot div blocks")
-    return slots.select(
-        "shard",
-        "source_key",
-        "slot",
-        permuted(F.expr("slot % blocks"), F.col("blocks"), F.lit(seed), F.col("source_key"), turn).alias("block"),
+    # Slots of one turn share their permutation, so its pivots are computed before the slots are listed.
+    first, final = f"greatest(first_slot, chunk * {CHUNK})", f"least({last}, (chunk + 1) * {CHUNK} - 1)"
+    turns = chunks.select(
+        "shard", "source_key", "blocks", F.expr(first).alias("low"), F.expr(final).alias("high"),
+        F.explode(F.expr(f"sequence({first} div blocks, {final} div blocks)")).alias("turn"),
+    )
+    key = (F.lit(seed), F.col("source_key"), F.col("turn"))
+    listed = "sequence(greatest(low, turn * blocks), least(high, (turn + 1) * blocks - 1))"
+    slots = turns.select("*", pivots(F.col("blocks"), *key).alias("known")).select(
+        "shard", "source_key", "blocks", "turn", "known", F.explode(F.expr(listed)).alias("slot")
     )
+    block = permuted(F.expr("slot % blocks"), F.col("blocks"), *key, known=F.col("known"))
+    # Never NULL, and said so: a join on it would else filter by the whole permutation a second time.
+    return slots.select("shard", "source_key", "slot", F.coalesce(block, F.lit(-1).cast("long")).alias("block"))
 
 
 def _source(source_key: Column) -> Column:
@@ -163,18 +196,19 @@ def _dealt(
     place in the block's order and its ``words``, joined by spaces.
     """
     texts = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _source_key(F.col(source).cast("string")).alias("source_key")
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("text_hash"),
+        F.col(text).alias("words"),
+        _source_key(F.col(source).cast("string")).alias("source_key"),
     )
     sizes = document_sizes(docs, doc_id, text, source)
     totals = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("source_key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_key", "bucket").orderBy(
-        F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", F.xxhash64("text")
-    )
-    counted = texts.withColumn("size", F.size(word_list(F.col("text"))).cast("long")).withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(GROUPS))
+        F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", "text_hash"
     )
+    counted = _counted(texts).withColumn("bucket", _bucket())
     placed = (
         counted.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
         .withColumn("number", F.when(F.col("size") == 0, F.row_number().over(inside)))
@@ -199,7 +233,7 @@ def _dealt(
         "doc_id",
         "size",
         "number",
-        F.explode(F.when(F.col("size") > 0, F.get(F.transform(F.array(word_list(F.col("text"))), cut), 0)).otherwise(F.array(alone))).alias("part"),
+        F.explode(F.when(F.col("size") > 0, F.get(F.transform(F.array(F.split("words", " ")), cut), 0)).otherwise(F.array(alone))).alias("part"),
     ).select("source_key", "start", "doc_id", "size", "number", "part.block", "part.words")
     blocks = (
         pieces.repartition("source_key", "block")
@@ -207,7 +241,8 @@ def _dealt(
         # A block has at most as many pieces as words.
         .agg(F.collect_list(F.struct("start", "doc_id", "size", "number", "words")).alias("pieces"))
     )
-    sources = targets(sizes, weights, share, block=block)
+    # From the sums that the offsets need, too: the texts are counted once for both.
+    sources = targets(totals.select("source_key", F.col("words").alias("size")), weights, share, block=block)
     drawn = drawn_blocks(shard_counts(sources, seed=seed), seed).select("source_key", "block", "shard", "slot")
     # Drawn blocks grow with the words: never broadcast.
     return blocks.join(drawn.hint("merge"), ["source_key", "block"], "left"), sources

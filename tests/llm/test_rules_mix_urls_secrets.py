@@ -148,6 +148,32 @@ def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("x"))
         assert sorted(r.x for r in df.collect()) == list(range(n))
+        key = (F.lit("s"), F.col("id") % 3)
+        both = spark.range(n).select(
+            mixing.permuted(F.col("id"), F.lit(n).cast("long"), *key).alias("x"),
+            mixing.permuted(F.col("id"), F.lit(n).cast("long"), *key, known=mixing.pivots(F.lit(n).cast("long"), *key)).alias("y"),
+        )
+        assert all(r.x == r.y for r in both.collect())
+
+
+def test_mixing_counts_and_permutes_once(real_docs):
+    mixed = mixing.mix_sources(real_docs[0])
+    mixed.collect()
+    final = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # One scan for the sums, by offsets and targets alike, and one that carries the words.
+    assert final.count("FileScan parquet") == 2
+    # No join key is made twice by a filter for NULLs.
+    costly = re.compile(r"octet_length|split|aggregate\(")
+    assert not [x for x in mixed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and costly.search(x)]
+
+
+def test_words_of_odd_white_space(make_docs):
+    texts = ["a", " a ", "a  b", "\ta\n\nb\x0b\x0c\rc ", "  ", "\n", "a\u00a0b c", "a\u2028b", "\u00e9   \U0001f600\t\t\t\t\tz", "\0 \x1f", None, ""]
+    rows = mixing._counted(make_docs(list(enumerate(texts))).select("doc_id", F.col("text").alias("words"))).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = WORD.findall(texts[r.doc_id] or "")
+        assert (r.words, r["size"]) == (" ".join(words), len(words))
 
 
 def sql():
