@@ -177,7 +177,7 @@ def shared_keys(docs: DataFrame, buckets: int, min_bytes: int = MIN_BYTES) -> Da
             shared[mine] = np.repeat(found, np.diff(np.append(head, len(mine)))) & (flag[mine] == PLAIN)
         yield from _batches([fps[shared], key[shared]], ["tag", "key"])
 
-    packed = docs.mapInArrow(cut, "bucket int, packed binary").repartition(buckets // 2, "bucket")
+    packed = docs.mapInArrow(cut, "bucket int, packed binary").repartitionById(buckets, F.col("bucket"))
     return packed.mapInArrow(sift, "tag long, key long")
 
 
@@ -198,6 +198,8 @@ def _keys_dealt(place: np.ndarray, key: np.ndarray, flag: np.ndarray, fps: np.nd
 
 KEY_TYPES = (np.uint8, np.uint8, np.uint8)
 PIECE = 8 << 20
+# Blocks for each shuffle partition.
+BLOCKS = 2
 # Bytes of the name by which a document's keys travel and by which it gets back keys and spans.
 TAG_BYTES = 6
 
@@ -332,7 +334,7 @@ def maximal_repeats(
             yield from _batches(_united([np.concatenate(c) for c in zip(*held)]), names)
 
     packed = joined.select("id", "fp", "text", "found").mapInArrow(fill, "bucket int, packed binary")
-    return packed.repartition(buckets // 2, "bucket").mapInArrow(scan, "id long, fp long, start long, length long, first_id long")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(scan, "id long, fp long, start long, length long, first_id long")
 
 
 def block_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, min_bytes: int = MIN_BYTES):
@@ -477,8 +479,9 @@ def remove_repeats(
 
     Removed is each byte of a string of ``min_bytes`` bytes that starts in a smaller document, too.
     """
-    # A block is unpacked whole, so blocks are a fraction of a shuffle partition.
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A block is unpacked whole, so it is half of a shuffle partition, and a task of its own. A piece sends at most one
+    # row to each: more blocks than tasks would make rows without spreading the work.
+    buckets = BLOCKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"),
         F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), F.col(text)).alias("fp"),

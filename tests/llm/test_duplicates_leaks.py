@@ -8,6 +8,7 @@ import numpy as np
 from conftest_llm import FOLDER, LONG, ODD
 from musterbook.llm import decontamination, ngram_jaccard, suffix_dedup
 from musterbook.llm.components import components
+from pyspark.sql import functions as F
 
 
 def dedup(docs, size=50):
@@ -54,6 +55,21 @@ def test_dedup(make_docs, real_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).collect() == []
 
 
+def test_dedup_sends_one_row_of_a_piece_to_a_task(make_docs, monkeypatch):
+    docs = make_docs(repeats_corpus()).repartition(3)
+    tasks, frame = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), type(docs)
+    sent, dealt = [], {name: getattr(frame, name) for name in ("repartition", "repartitionById")}
+    for name in dealt:
+        monkeypatch.setattr(frame, name, lambda self, *a, name=name: sent.append((self, a[0])) or dealt[name](self, *a))
+    suffix_dedup.remove_repeats(docs)
+    assert [n for _, n in sent] == [suffix_dedup.BLOCKS * tasks] * 2
+    for packed, n in sent:
+        # The texts of a partition are one piece here; each of its rows goes to another task.
+        rows = packed.select(F.spark_partition_id().alias("p"), "bucket").collect()
+        assert rows and len(set(rows)) == len(rows) and all(0 <= r.bucket < n for r in rows)
+        assert max(collections.Counter(r.p for r in rows).values()) <= 2 * tasks
+
+
 def test_tree_intervals():
     words = sorted(s[k:] for s in ["banana", "bandana"] for k in range(len(s)))
     common = np.array([next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(words, words[1:])])
