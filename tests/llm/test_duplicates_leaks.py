@@ -70,6 +70,26 @@ def test_dedup_sends_one_row_of_a_piece_to_a_task(make_docs, monkeypatch):
         assert max(collections.Counter(r.p for r in rows).values()) <= 2 * tasks
 
 
+def test_united_spans_of_documents():
+    rng = np.random.default_rng(5)
+    for n, hashes in ((0, 1), (1, 1), (400, 30), (400, 2)):
+        # Documents differ in id or in hash; one hash may stand for two ids.
+        ids, fps = rng.integers(0, 3, n), rng.integers(-hashes, hashes, n) * 2**56
+        start, length, first = rng.integers(0, 2000, n), rng.integers(50, 90, n), rng.integers(0, 9, n)
+        expected = collections.defaultdict(lambda: (set(), {}))
+        for i, f, s, k, least in zip(*(c.tolist() for c in (ids, fps, start, length, first))):
+            # Edges, so spans that touch are one.
+            expected[i, f][0].update(range(s, s + k))
+            expected[i, f][1][s] = min(least, expected[i, f][1].get(s, least))
+        want = set()
+        for (i, f), (places, leasts) in expected.items():
+            for head in sorted(x for x in places if x - 1 not in places):
+                end = next(x for x in range(head, 4000) if x not in places)
+                want.add((i, f, head, end - head, min(v for s, v in leasts.items() if head <= s < end)))
+        got = suffix_dedup._united([ids, fps, start, length, first])
+        assert collections.Counter(zip(*(c.tolist() for c in got))) == collections.Counter(want)
+
+
 def test_tree_intervals():
     words = sorted(s[k:] for s in ["banana", "bandana"] for k in range(len(s)))
     common = np.array([next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(words, words[1:])])
